@@ -1,0 +1 @@
+"""Scans and sinks of dictionary, rule and suggestion files."""
