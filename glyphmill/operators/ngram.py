@@ -125,7 +125,7 @@ def rules_from(spark: SparkSession, path: str, unigrams: bool = False) -> DataFr
 
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.words").text(path).select("_metadata.file_path", "value").collect()
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.words").text(path, wholetext=True).select("_metadata.file_path", "value").collect()
     plain = lambda p: re.sub("^file:/+", "/", p)
     lists = {plain(p)[len(plain(root)) :]: v for p, v in texts}
     orders = (1, 1) if unigrams else (2, 5)

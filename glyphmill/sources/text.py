@@ -19,8 +19,8 @@ NONE, NUMBER_SUFFIX, EMOTICON, EMOJI = 0, 1, 2, 3
 
 def lines(spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
     """(path, line_no from 1, value) in file order; a trailing line break ends the last line."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    reader = spark.read.option("recursiveFileLookup", recursive)
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).text(path, wholetext=True)
     body = F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), "\n$", "")
     return (
         files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.when(F.col("value") == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))).alias("i", "value"))
