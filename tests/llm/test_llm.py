@@ -1,0 +1,340 @@
+"""The training-data operators against brute force, round trips and held-out accuracy."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from glyphmill.llm import chat, decontaminate, exact_dedup, jaccard, mixing, pii, quality, sharding, token_counts, toxicity
+from glyphmill.llm.components import components
+from glyphmill.llm.queries import ORACLE_SQL, QUERIES, tokenizer
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, y string, row int"
+LOWER = {i: i + 32 for i in range(65, 91)}
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows, extra columns with clashing names."""
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    texts = [None, "", "   ", base, base, base + " phi", "One, two!", base.upper(), "é " * 30_000, "x", "<s>[INST]", base * 3, None]
+    rows = [(i if i not in (4, 12) else None, t, None, None if i % 4 == 0 else f"s{i % 3}", None, "clash", 7) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[3], rows[3]], DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.read.parquet(f"{SF}/labels.parquet")
+
+
+def test_exact_dedup(spark, odd, none, docs):
+    assert exact_dedup.exact_dedup(none).count() == 0
+    for df in (odd, docs):
+        groups, want = defaultdict(list), Counter()
+        rows = [(r.doc_id, r.text or "") for r in df.collect()]
+        for i, t in rows:
+            groups[t].append(i)
+        for i, t in rows:
+            keep = max((x for x in groups[t] if x is not None), default=None)
+            want[i, keep, len(groups[t]), keep is None or i == keep, hashlib.sha256(t.encode()).hexdigest()] += 1
+        assert Counter(map(tuple, exact_dedup.exact_dedup(df, salts=3).collect())) == want
+
+
+def test_token_counts(odd, none, docs):
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert token_counts.token_counts(none, path).count() == 0
+    for df in (odd, docs):
+        want = Counter((r.doc_id, len((r.text or "").encode()), n := len(model.encode(r.text or "")), n > 4096) for r in df.collect())
+        assert Counter(map(tuple, token_counts.token_counts(df, path).collect())) == want
+    counter = token_counts.PieceCounter(path)
+    hard = [" ", "  ", " a", "a ", "a  b", "▁", "▁a ▁", "a▁b", "\n \n", "</s> <s>", "a　 b", "ab" * 5000, " " * 50 + "x", "x" + " " * 17]
+    assert counter.by_unit and counter.counts(hard) == [len(model.encode(t)) for t in hard]
+
+
+def brute_hits(text, items, size=10):
+    w, hit, found = words(text), set(), set()
+    for item, b in items:
+        n = min(size, len(b))
+        grams = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)} if n else set()
+        for i in range(len(w) - n + 1 if n else 0):
+            if tuple(w[i : i + n]) in grams:
+                hit |= set(range(i, i + n))
+                found.add(str(item))
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_decontamination(spark, odd, none, most):
+    items = [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa LAMBDA mu"), (10, "one two"), (2, None), (3, "!"), (1, "one two"), (4, "é é é"), (5, "rho sigma tau upsilon alpha beta gamma delta epsilon")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    split = [(i, words(t)) for i, t in items]
+    want = Counter()
+    for r in odd.collect():
+        n, hit, found = brute_hits(r.text, split)
+        want[r.doc_id, n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0] += 1
+    assert Counter(map(tuple, decontaminate.flagged(odd, bench, most=most).collect())) == want
+    if most > 3:
+        clean = decontaminate.without_documents(odd, bench)
+        assert clean.columns == odd.columns and all(not brute_hits(r.text, split)[1] for r in clean.collect())
+        assert clean.count() == sum(n for k, n in want.items() if not k[-1])
+        cut = decontaminate.without_spans(odd, bench)
+        assert cut.count() == odd.count() and all(not brute_hits(r.text, split)[1] for r in cut.collect())
+        kept = Counter(r.text for r in odd.collect() if not brute_hits(r.text, split)[1])
+        assert not kept - Counter(r.text for r in cut.collect())
+        assert decontaminate.flagged(none, bench).count() == 0
+        assert not decontaminate.flagged(odd, bench.limit(0)).where("contaminated").count()
+
+
+def test_chat(spark):
+    texts = ["</s>[INST] ok [/INST]", "", None, "a\\b [\\INST] [\\\\/INST] <\\s>", "<|endoftext|> tail ", " lead\n", "é😀"]
+    rows = [(c, t, role, x) for c in (1, None) for t, (role, x) in enumerate([("user", texts[0]), ("assistant", texts[0]), (None, None), *[("assistant", x) for x in texts]])]
+    df = spark.createDataFrame([*rows, (2, None, "assistant", "b"), (2, None, "assistant", "a"), (2, 0, "[INST]", "x")], "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
+    path = tokenizer("byte_bpe_50k.json")
+    by = defaultdict(list)
+    for c, t, role, x, _ in df.collect():
+        by[c].append(((t is not None, t or 0), role or "", x or ""))
+    for r in chat.format_chats(df, path).collect():
+        turns = [(a, b) for _, a, b in sorted(by[r.conv_id])]
+        loss = "".join(b for a, b in turns if a == "assistant")
+        assert chat.parse(r.formatted) == turns and r.n_turns == len(turns)
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest()) and len(r.ids) == len(r.loss_mask)
+    assert chat.format_chats(df.limit(0), path).count() == 0
+
+
+def test_mixing(odd, none, docs):
+    tokens = {"a": 900, "b": 90, "c": 10, "d": 0}
+    e = mixing.bisect_exponent(tokens, max_repeats=2.0)
+    times = mixing.repeats(tokens, mixing.temperature(tokens, e), None)
+    assert max(times.values()) == pytest.approx(2, abs=1e-6) and min(times.values()) == pytest.approx(1)
+    e = mixing.bisect_exponent(tokens, target_entropy=0.8)
+    assert mixing.entropy(mixing.temperature(tokens, e)) == pytest.approx(0.8, abs=1e-6)
+    assert math.isclose(mixing.bisect_exponent(tokens, budget=10_000, max_repeats=1e9), 0)
+    assert mixing.mixed(none).count() == 0
+    assert set(mixing.mixed(odd).select("row", "y").distinct().collect()) == {(7, "clash")}
+    n = {r.doc_id: len(words(r.text)) for r in docs.collect()}
+    out = mixing.mixed(docs, block=512).collect()
+    assert {r.doc_id for r in out} == set(n) and max(Counter(r.doc_id for r in out).values()) == 2
+    total, got = Counter(), Counter()
+    for r in docs.collect():
+        total[r.source] += n[r.doc_id]
+    for r in out:
+        got[r.source] += n[r.doc_id]
+    w = mixing.temperature(total, mixing.bisect_exponent(total, max_repeats=2.0))
+    times = mixing.repeats(total, w, None)
+    block = max(sum(n[r.doc_id] for r in out if (r.source, r.mix_block, r.mix_epoch) == k) for k in {(r.source, r.mix_block, 0) for r in out})
+    for s in total:
+        assert -1 <= got[s] - times[s] * total[s] <= block
+    half = mixing.mixed(docs, budget=sum(total.values()) / 2, block=64, target_entropy=5.0)
+    assert 0 < half.count() < len(n)
+
+
+def test_sharding(odd, none, docs):
+    assert sharding.shards(none).count() == 0
+    for df, limit in ((docs, 20_000), (odd, 70_000), (docs, 1 << 40)):
+        out = sharding.shards(df, limit)
+        rows = out.collect()
+        assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in df.collect()) and out.columns[: len(df.columns)] == df.columns
+        size = Counter()
+        for r in rows:
+            size[r.shard] += len((r.text or "").encode())
+        bits = {i: format(int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16), "060b") for i in {r.doc_id for r in rows if r.doc_id is not None}}
+        for r in rows:
+            assert r.shard_bytes == size[r.shard] and (r.doc_id is None or bits[r.doc_id].startswith(r.shard))
+            assert size[r.shard] <= limit or r.shard_depth == sharding.BITS
+            if r.shard:  # its parent was over the limit
+                assert sum(v for s, v in size.items() if s.startswith(r.shard[:-1])) > limit
+        assert {r.shard for r in rows} == {""} if limit > 1 << 30 else len(size) > 1
+
+
+def test_components(spark):
+    chain = [(i + 1, i) for i in range(40) if i % 10 != 9] + [(100, 3), (100, 25)]
+    got = {r.u: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    assert got[39] == 30 and {got[i] for i in (0, 9, 20, 29, 100)} == {0} and got[10] == got[19] == 10
+    assert components(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0
+
+
+def brute_near(rows, threshold=0.8):
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(t)) else frozenset() for _, t in rows]
+    posting, common = defaultdict(list), Counter()
+    for i, s in enumerate(sets):
+        for g in s:
+            posting[g].append(i)
+    for ids in posting.values():
+        common.update((a, b) for k, b in enumerate(ids) for a in ids[:k])
+    root, degree = list(range(len(rows))), Counter()
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (a, b), c in common.items():
+        if c >= threshold * (len(sets[a]) + len(sets[b]) - c) - 1e-9:
+            degree[a] += 1
+            degree[b] += 1
+            root[find(a)] = find(b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return Counter((d, least.get(find(i)) if sets[i] else d, degree[i]) for i, (d, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_jaccard(spark, odd, none, docs, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    rng = np.random.default_rng(5)
+    near = [[f"w{x}" for x in rng.integers(0, 1000, 60)] for _ in range(4)]
+    more = []
+    for k in range(24):
+        w = list(near[k % 4])
+        for j in rng.integers(0, 60, k // 8):
+            w[j] = f"new{k}"
+        more.append((1000 + k, " ".join(w)))
+    df = docs.select("doc_id", "text").union(odd.select("doc_id", "text")).union(spark.createDataFrame(more, "doc_id long, text string"))
+    assert jaccard.near_duplicates(none).count() == 0
+    rows = [tuple(r) for r in df.collect()]
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.near_duplicates(df).collect()) == brute_near(rows)
+    bands, n = jaccard.plan_bands()
+    assert 1 - (1 - 0.8**n) ** bands >= jaccard.RECALL and bands * n <= jaccard.HASHES
+
+
+def test_overlaps():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(30)]
+    got = jaccard.overlaps(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert i == j or got[i, j] == len(np.intersect1d(a, b))
+
+
+def brute_pii(text):
+    spans = []
+    for k, (name, pattern, ok) in enumerate((
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(d := re.sub("[ -]", "", m)) <= 19 and pii.luhn(d)),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    )):
+        spans += [(m.start(), k, m.end(), name) for m in re.finditer(pattern, text or "") if ok(m[0])]
+    return ",".join(f"{n}:{s}:{e}" for s, _, e, n in sorted(spans))
+
+
+def test_pii(spark, odd, none, docs):
+    rng = np.random.default_rng(2)
+    noise = ["".join(rng.choice(list("a1 .@+-(2%٣é")) for _ in range(60)) for _ in range(3000)]
+    noise += ["a@b.c@d.e x@y..z @a.b a@-.-", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4", "4111 1111 1111 1111 4111-1111-1111-1112", "+1 (415) 555-0100 +12", "İ a@b.co ﬁ 1.2.3.4", "see https://a.b/c. IBAN: DE89370400440532013000", "1" * 40_000]
+    df = odd.select("doc_id", "text").union(docs.select("doc_id", "text")).union(spark.createDataFrame([(10_000 + i, x) for i, x in enumerate(noise)], "doc_id long, text string"))
+    want = Counter((r.doc_id, hashlib.sha256(brute_pii(r.text).encode()).hexdigest()) for r in df.collect())
+    got = pii.find_pii(df).collect()
+    assert Counter((r.doc_id, r.base_sha256) for r in got) == want
+    by = {r.doc_id: r for r in got}
+    assert "url:4:17" in by[10_000 + 3005].spans and "account:25:47" in by[10_000 + 3005].spans
+    assert pii.find_pii(none).count() == 0
+    assert "a@b.co" not in pii.redacted(df).where("doc_id = 13004").first().text
+
+
+def rate(df, labels, label, held=True):
+    rows = df.where(F.col("held_out") == held).join(labels, "doc_id").collect()
+    return sum(r.predicted == r[label] for r in rows) / len(rows)
+
+
+def test_quality(spark, odd, none):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.quality_report(docs, labels)
+    assert rate(out, labels, "quality") > 0.95 and out.count() == 1000
+    for r in out.limit(50).collect():
+        assert 0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    model = quality.train(docs, labels)
+    scored = quality.score_quality(odd, model)
+    assert scored.count() == odd.count() and scored.columns[: len(odd.columns)] == odd.columns and not scored.where("score is null").count()
+    assert quality.score_quality(none, model).count() == 0
+    assert quality.quality_report(docs.limit(5), labels.limit(0)).where("score = 0.5").count() == 5
+
+
+def test_quality_learns_an_interaction():
+    rng = np.random.default_rng(0)
+    x = rng.random((4000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    model = quality.fit(x, y)
+    assert ((model.score(x) > 0.5) == y).mean() > 0.95
+
+
+def test_toxicity(spark, odd, none):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    index = toxicity.train(docs, labels)
+    out = toxicity.score_toxicity(docs, index)
+    rows = out.where("held_out").join(labels, "doc_id").collect()
+    assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.95
+    assert sum(r.predicted for r in rows if r.toxic) / sum(r.toxic for r in rows) > 0.8
+    assert toxicity.score_toxicity(odd, index).count() == odd.count() and toxicity.score_toxicity(none, index).count() == 0
+    assert toxicity.score_toxicity(odd, toxicity.train(docs.limit(9), labels.limit(0))).where("score between 0 and 1").count() == odd.count()
+    # the pruned search finds exactly what a full scan finds
+    at, col, value = index.vectors(pa.array([r.text for r in docs.limit(400).collect()]))
+    for a, b in zip(at[:-1], at[1:]):
+        if b > a:
+            q = np.zeros(len(index.vocabulary))
+            q[col[a:b]] = value[a:b]
+            full = np.round(np.bincount(index.rows, q[index.cols] * index.values, len(index.y)), 12)
+            order = np.lexsort((np.arange(len(full)), -full))[: toxicity.NEIGHBOURS]
+            e, s = index.nearest(col[a:b], value[a:b])
+            assert np.allclose(s, full[order][: len(s)]) and list(e) == [i for i in order if full[i] > 0]
+
+
+def test_pipeline(spark):
+    assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    bench = [(r.item_id, words(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    df, seen = spark.createDataFrame(docs), []
+    for _, stage in corpus_pipeline.STAGES:
+        df = spark.createDataFrame(df.collect(), df.schema)
+        seen.append(df.collect())
+        df = stage(spark, df, SF)
+    last = df.collect()
+    good, unique, clean, mix = seen[1:]
+    reps = {c for _, c, _ in brute_near([(r.doc_id, r.text) for r in good])}
+    assert {r.doc_id for r in unique} == reps
+    assert {r.doc_id for r in clean} == {r.doc_id for r in unique if not brute_hits(r.text, bench)[1]}
+    assert {r.doc_id for r in mix} == {r.doc_id for r in clean} and len(last) == len(mix)
+    run = corpus_pipeline.run(spark, SF)
+    assert Counter(r.doc_id for r in run.collect()) == Counter(r.doc_id for r in last)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    con.execute(ORACLE_SQL[name])
+    names, df = [d[0] for d in con.description], QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(names)
+    assert Counter(map(tuple, df.select(*names).collect())) == Counter(con.fetchall())
