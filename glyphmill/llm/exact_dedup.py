@@ -24,8 +24,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (Spark's partial aggregate), among the rows of one (digest, salt), and among the
     salt winners of a digest.  A text that fills a third of the table so reaches any
     task as one row per map task or salt.  What decides is then dealt back over the
-    same salts without texts.  Were two texts ever to share a digest, their rows would be
-    matched on the text as well.
+    same salts without texts.  Classes are told apart by the full text; rows are dealt
+    back by the digest, and, were two texts ever to share one, by a second hash as well.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))

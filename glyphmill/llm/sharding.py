@@ -60,7 +60,8 @@ def shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
     A shard is a hash prefix: an empty table has none, a table within the limit has the one
     with no bits.  Rows are hashed by their id (and ``extra_key``); null ids are one key.  Only rows that agree in
     the whole hash cannot be parted: their shard is as large as they are, and exceeds the limit
-    if a single text or one repeated key does.  Null texts have 0 bytes.  Columns named like
+    if a single text or one repeated key does.  Beyond ``MOST`` shards the directory is joined by a
+    shuffle, which moves a row once for each depth in use (two or three, as hashes are even).  Null texts have 0 bytes.  Columns named like
     the added ones are replaced.
     """
     added = ("shard", "shard_depth", "shard_bytes", "shard_rows")
