@@ -285,10 +285,10 @@ def signature_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT id, text, translate(text, '{X._HIRA_RUN}', '{X._KATA_RUN}') AS katakana, CAST(length(text) AS INTEGER) AS units FROM (
-    SELECT CAST(doc_id AS BIGINT) AS id, left(text, 80) AS text FROM documents UNION ALL SELECT * FROM (VALUES (-1, 'ひらがなヴゔー'), (-2, 'ぁんがっこう'), (-3, '漢字とかな')))""")
+    SELECT CAST(doc_id AS BIGINT) AS id, text FROM documents UNION ALL SELECT * FROM (VALUES (-1, 'ひらがなヴゔー'), (-2, 'ぁんがっこう'), (-3, '漢字とかな')))""")
 def kana_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-1, "ひらがなヴゔー"), (-2, "ぁんがっこう"), (-3, "漢字とかな")], "id long, text string")
-    rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("text")).union(more)
+    rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").union(more)
     return rows.select("id", "text", X.hira_to_kata(F.col("text")).alias("katakana"), X.utf16_length(F.col("text")).alias("units"))
 
 
@@ -305,11 +305,14 @@ def split_explode_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _loanwords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's first words as a surface and a short reading."""
-    docs = _t(spark, sf_dir, "documents")
-    first = F.element_at(F.split(F.coalesce("text", F.lit("")), "\n", 2), 1)
-    reading = F.element_at(F.array(*map(F.lit, ("あー", "か", "きゃら", "おおー", "いぇす", "ー"))), (F.col("doc_id") % 6 + 1).cast("int"))
-    return docs.select(reading.alias("yomi"), F.substring(first, 1, 70).alias("tango"), (F.col("doc_id") % 300 + 1).cast("smallint").alias("cost"), F.col("doc_id").alias("ord"))
+    """Each line of each document as a surface; the digits of the document's id, as kana, are its reading."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "tango"))
+    return docs.select(
+        F.translate(F.col("doc_id").cast("string"), "0123456789", _DIGITS).alias("yomi"), "tango", (F.col("doc_id") % 300 + 1).cast("smallint").alias("cost"),
+        (F.col("doc_id") * (1 << 20) + F.col("i")).alias("ord"))
+
+
+_DIGITS = "あいうえおーかきくゕ"
 
 
 def _sql_list(words: tuple[str, ...]) -> str:
@@ -321,12 +324,12 @@ def _sql_text(pattern: str) -> str:
 
 
 _BLANK = r"\s\x1C-\x1F\p{Z}"
-_ASSESSED = f"""WITH raw AS (SELECT CASE doc_id % 6 WHEN 0 THEN 'あー' WHEN 1 THEN 'か' WHEN 2 THEN 'きゃら' WHEN 3 THEN 'おおー' WHEN 4 THEN 'いぇす' ELSE 'ー' END AS yomi,
-      left(string_split(coalesce(text, ''), chr(10))[1], 70) AS tango, doc_id % 300 + 1 AS cost, doc_id AS ord FROM documents),
-    b AS (SELECT *, yomi AS reading, regexp_replace(regexp_replace(tango, '^[{_BLANK}]+', ''), '[{_BLANK}]+$', '') AS s FROM raw),
+_ASSESSED = f"""WITH raw AS (SELECT translate(CAST(doc_id AS VARCHAR), '0123456789', '{_DIGITS}') AS yomi, tango, doc_id % 300 + 1 AS cost, doc_id * {1 << 20} + i AS ord FROM (
+      SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS tango, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
+    b AS (SELECT *, translate(yomi, 'ゕゖ', 'かけ') AS reading, regexp_replace(regexp_replace(tango, '^[{_BLANK}]+', ''), '[{_BLANK}]+$', '') AS s FROM raw),
     c AS (SELECT *, regexp_matches(reading, '^(?:[あぁ][あぁー]+|[いぃ][いぃー]+|[うぅ][うぅー]+|[えぇ][えぇー]+|[おぉ][おぉー]+)$') AS vocal, lower(s) AS low FROM b),
     f AS (SELECT *, list_filter([
-      CASE WHEN s <> tango THEN 'surface-normalized' END, CASE WHEN regexp_matches(yomi, '[ゝゞ]') OR yomi = 'ー' THEN 'special-reading' END,
+      CASE WHEN reading <> yomi THEN 'reading-normalized' END, CASE WHEN s <> tango THEN 'surface-normalized' END, CASE WHEN regexp_matches(yomi, '[ゝゞ]') OR yomi = 'ー' THEN 'special-reading' END,
       CASE WHEN vocal THEN 'vocalization-reading' END, CASE WHEN length(reading) = 1 THEN 'single-character-reading' END,
       CASE WHEN regexp_matches(s, '^[^\\p{{L}}\\p{{Nd}}{_BLANK}]+$') THEN 'punctuation-only' END, CASE WHEN regexp_matches(s, '[!?！？]') THEN 'exclamatory-surface' END,
       CASE WHEN regexp_matches(s, '^[A-Za-z]$') THEN 'single-letter-surface' END,
@@ -337,7 +340,7 @@ _ASSESSED = f"""WITH raw AS (SELECT CASE doc_id % 6 WHEN 0 THEN 'あー' WHEN 1
       CASE WHEN regexp_matches(s, {_sql_text(Q.GLOSS)}) THEN 'explanatory-gloss' END,
       CASE WHEN length(s) - length(replace(s, ' ', '')) + 1 >= 8 OR length(s) >= 64 OR (length(s) >= 45 AND regexp_matches(s, '^\\p{{Ll}}')) THEN 'long-definition' END,
       CASE WHEN regexp_matches(s, {_sql_text(Q.FRAGMENT)}) THEN 'definition-fragment' END, CASE WHEN regexp_matches(tango, '[()]') THEN 'parenthetical' END], lambda x: x IS NOT NULL) AS flags FROM c),
-    a AS (SELECT *, CASE WHEN len(list_filter(flags, lambda x: x NOT IN ('surface-normalized', 'explanatory-gloss', 'long-definition', 'definition-fragment', 'parenthetical'))) > 0 OR regexp_matches(s, '[()]') THEN 'EXCLUDED'
+    a AS (SELECT *, CASE WHEN len(list_filter(flags, lambda x: x NOT IN ('reading-normalized', 'surface-normalized', 'explanatory-gloss', 'long-definition', 'definition-fragment', 'parenthetical'))) > 0 OR regexp_matches(s, '[()]') THEN 'EXCLUDED'
       WHEN (regexp_matches(s, '[{_BLANK}{Q.HYPHENS}]')) OR len(list_filter(flags, lambda x: x IN ('explanatory-gloss', 'long-definition', 'definition-fragment'))) > 0 THEN 'REVIEW' ELSE 'PRIMARY' END AS status FROM f)"""
 
 
