@@ -216,5 +216,5 @@ def matching_paths(ranked: DataFrame, rules: DataFrame, pos: DataFrame | None =
 def coarse_classes(pos: DataFrame) -> DataFrame:
     """(name, id from 1) of the coarse parts of speech; fewer than 256."""
     names = pos.select(F.split("name", ",")[0].alias("name")).distinct()
-    out = names.withColumn("id", F.row_number().over(W.orderBy("name")))
+    out = names.withColumn("id", F.row_number().over(W.orderBy(X.utf16_order(F.col("name")))))
     return out.withColumn("id", F.when(F.col("id") < 256, F.col("id")).otherwise(F.raise_error(F.lit("256 or more coarse parts of speech")).cast("int")))

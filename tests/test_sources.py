@@ -4,7 +4,9 @@ import zipfile
 
 import pytest
 
+from glyphmill.functions import text as X
 from glyphmill.sources import binary as B
+from glyphmill.sources import ngram_index as I
 from glyphmill.sources import text as S
 
 
@@ -98,3 +100,55 @@ def test_binary_round_trip():
     with pytest.raises(ValueError):
         B.parse_suggestions(struct.pack("<IIHHI", 9, 0, 0, 0, 0), strings)
     assert B.uvarint(300) == b"\xac\x02"
+
+
+def _packed_rules(spark):
+    from glyphmill.operators.ngram import RULE
+
+    rows = [([(1, "指"), (1, "の"), (1, "軌跡")], "a", 1), ([(2, "名詞"), (3, ""), (1, "x" * 200)], "a", 2)] + [([(1, f"w{i:03}"), (1, "b" * (i % 7 + 1))], "b", i) for i in range(40)]
+    defs = spark.createDataFrame([(0, "BOS/EOS,*", 1), (1, "名詞,一般", 2), (2, "名詞,数", 3), (3, "動詞,自立", 4)], "id int, name string, line_no int")
+    return spark.createDataFrame(rows, RULE), defs, rows
+
+
+def test_packed_rules_round_trip(spark, tmp_path):
+    rules, defs, rows = _packed_rules(spark)
+    a, b = str(tmp_path / "a.dat"), str(tmp_path / "b.dat")
+    report = I.write(rules, defs, a)
+    I.write(rules.orderBy(X.canonical(rules.features).desc()), defs, b)
+    data = open(a, "rb").read()
+    assert data == open(b, "rb").read() and report["rules"] == 42 and report["bytes"] == len(data) and report["signatures"] == 3
+    # classes by name: BOS/EOS, 動詞, 名詞
+    assert list(I.parse(data).contexts) == [1, 3, 3, 2]
+    want = {tuple((k, "3" if k == 2 else v) for k, v in f) for f, _, _ in rows}
+    got = I.read(spark, a).collect()
+    assert {tuple((f["kind"], f["value"]) for f in r["features"]) for r in got} == want and len(got) == 42
+    # every key is found by its hash: bucket, then remainder
+    packed, h = I.parse(data), I.parse(data).header
+    hashes = [r[0] for r in spark.createDataFrame([(bytearray(k), i) for i, k in enumerate(packed.keys)], "k binary, i int").orderBy("i").select(X.hash64("k")).collect()]
+    for record, value in enumerate(hashes):
+        bucket = (value & (1 << 64) - 1) >> (64 - (h["buckets"].bit_length() - 1))
+        lo, hi = struct.unpack_from("<II", data, h["buckets_at"] + 4 * bucket)
+        found = [struct.unpack_from("<IHI", data, h["entries_at"] + 10 * e) for e in range(lo, hi)]
+        assert any((high << 32 | low) == value & (1 << 48) - 1 and r == record for low, high, r in found)
+
+
+def test_packed_rules_refuse(spark, tmp_path):
+    rules, defs, _ = _packed_rules(spark)
+    p = str(tmp_path / "a.dat")
+    I.write(rules.limit(5), defs, p)
+    data = bytearray(open(p, "rb").read())
+    for at, what in ((0, "kind"), (4, "version"), (56, "size"), (len(data) - 1, "checksum")):
+        bad = bytearray(data)
+        bad[at] ^= 1
+        with pytest.raises(I.PackError, match=what):
+            I.parse(bytes(bad))
+    with pytest.raises(I.PackError, match="cut off"):
+        I.parse(b"")
+    with pytest.raises(I.PackError, match="order"):
+        I.write(rules, defs, p, version=4)
+    with pytest.raises(I.PackError, match="twice"):
+        I.write(rules.union(rules), defs, p)
+    with pytest.raises(Exception, match="coarse"):
+        I.write(rules, defs.where("id = 0"), p)
+    with pytest.raises(I.PackError, match="no rules"):
+        I.write(rules.limit(0), defs, p)
