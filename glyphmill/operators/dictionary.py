@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,14 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder of ``spark.checkpoint.dir``; one of this machine is taken only where that is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="glyphmill-"))
+    return df.checkpoint()
+
+
 def union_ranked(*sources: DataFrame) -> DataFrame:
     """All rows of the sources with src_rank, the place of their source; order is (src_rank, ord)."""
     return reduce(DataFrame.unionByName, [s.withColumn("src_rank", F.lit(i)) for i, s in enumerate(sources)])
@@ -43,12 +52,12 @@ def by_length(df: DataFrame, column: str = "yomi") -> DataFrame:
 
 
 def first_seen_ids(rows: DataFrame, keys: list[str], order: Column | str, name: str = "id") -> DataFrame:
-    """Dense ids of the distinct keys: the key first seen last has 0.
+    """Dense ids of the distinct keys: the key first seen last has 0, of those first seen together the least key.
 
-    The window is over the distinct keys alone, after an aggregate.
+    The keys are aggregated, then numbered by ranges.
     """
     seen = rows.groupBy(*keys).agg(F.min(order).alias("__first"))
-    return seen.withColumn(name, F.row_number().over(W.orderBy(F.desc("__first"), *keys)) - 1).drop("__first")
+    return ranked(seen, [F.desc("__first"), *keys], name).drop("__first").withColumn(name, F.col(name).cast("int"))
 
 
 def encoded(rows: DataFrame, ids: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
@@ -69,14 +78,16 @@ def string_pool(df: DataFrame, *columns: str) -> DataFrame:
     return ranked(all_values.where("value IS NOT NULL").distinct(), "value", "id")
 
 
-def ranked(distinct: DataFrame, column: str, name: str, parts: int = 64) -> DataFrame:
-    """Dense ranks from 0 over a column of distinct values: ranges are counted, then numbered one by one.
+def ranked(distinct: DataFrame, order: str | list[Column | str], name: str, parts: int = 64) -> DataFrame:
+    """Dense ranks from 0 over rows of which the order is distinct: ranges are counted, then numbered one by one.
 
-    No window runs over all rows: a window within each range, one over the ranges' counts.
+    No window runs over all rows: a window within each range, one over the ranges' counts.  The
+    rows are kept in their ranges by a checkpoint, as both the counts and the numbers need the same ones.
     """
-    ranged = distinct.repartitionByRange(parts, column).withColumn("__p", F.spark_partition_id())
-    inner = ranged.withColumn("__n", F.row_number().over(W.partitionBy("__p").orderBy(column)))
-    counts = inner.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
+    by = [order] if isinstance(order, str) else order
+    ranged = checkpointed(distinct.repartitionByRange(parts, *by).withColumn("__p", F.spark_partition_id()))
+    inner = ranged.withColumn("__n", F.row_number().over(W.partitionBy("__p").orderBy(*by)))
+    counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))  # a row for each range
     before = counts.withColumn("__b", F.coalesce(F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__c")
     return inner.join(F.broadcast(before), "__p").withColumn(name, F.col("__n") + F.col("__b") - 1).drop("__p", "__n", "__b")
 
@@ -90,13 +101,13 @@ def front_coded(df: DataFrame, column: str, block: int = 16) -> DataFrame:
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """One row of counts: entries, distinct readings, surfaces and pairs, readings with one and more entries, extremes; 0 on empty."""
+    """One row of counts: entries, distinct readings, surfaces and pairs, readings with one and more entries, extremes of the readings' UTF-16 lengths and of the costs; 0 on empty."""
     per = rows.groupBy("yomi").agg(F.count(F.lit(1)).alias("n"))
     a = per.agg(F.count(F.lit(1)).alias("readings"), F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") > 1).alias("multiple"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     b = rows.agg(
         F.count(F.lit(1)).alias("entries"), F.countDistinct("tango").alias("surfaces"), F.countDistinct("yomi", "tango").alias("pairs"),
-        zero(F.min(F.length("tango"))).alias("min_length"), zero(F.max(F.length("tango"))).alias("max_length"), zero(F.min("cost")).alias("min_cost"), zero(F.max("cost")).alias("max_cost"))
+        zero(F.min(X.utf16_length(F.col("yomi")))).alias("min_length"), zero(F.max(X.utf16_length(F.col("yomi")))).alias("max_length"), zero(F.min("cost")).alias("min_cost"), zero(F.max("cost")).alias("max_cost"))
     return a.join(b)  # two single rows
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .dictionary import cheapest
+from .dictionary import cheapest, ranked
+from .dictionary import summary as dictionary_summary
+from .validate import ValidationError, repeated, require_none
 
 # The words, pairs and patterns that decide a row's flags and status.
 NUMERIC_WORDS = (
@@ -120,22 +121,56 @@ def _rank() -> Column:
     return F.when(F.col("status") == PRIMARY, 0).when(F.col("status") == REVIEW, 1).otherwise(2)
 
 
-def candidate_report(assessment: DataFrame) -> DataFrame:
-    """For each reading: entries, and the surfaces of each status joined by bars, by runtime cost and surface."""
-    item = F.struct(_rank().alias("k"), F.coalesce("runtime_cost", F.lit(2147483647)).alias("c"), F.col("norm_surface").alias("t"))
-    listed = assessment.groupBy("norm_reading").agg(F.count(F.lit(1)).alias("entries"), F.array_sort(F.collect_list(item)).alias("all"))
-    of = lambda k: F.array_join(F.transform(F.filter("all", lambda x: x["k"] == k), lambda x: x["t"]), " | ")
-    return listed.select(F.col("norm_reading").alias("reading"), "entries", of(0).alias("primary"), of(1).alias("review"), of(2).alias("excluded"))
+def _flag_text() -> Column:
+    return F.when(F.size("flags") == 0, "-").otherwise(F.array_join("flags", ","))
 
 
-def quality_rows(assessment: DataFrame) -> DataFrame:
-    """A row for each entry with its line number, for a TSV."""
-    w = W.partitionBy("norm_reading").orderBy(_rank(), F.coalesce("runtime_cost", F.lit(2147483647)), "norm_surface", "ord")
-    return assessment.select("ord", "yomi", "norm_reading", "tango", "norm_surface", "cost", "status", "score", F.array_join("flags", ",").alias("flags"), F.row_number().over(w).alias("place"))
+def described() -> Column:
+    """A candidate with its cost, status, score, flags, and what conversion would use instead."""
+    lit, text = F.lit, lambda c: F.col(c).cast("string")
+    surface = F.when(F.col("norm_surface") != F.col("tango"), F.concat(lit("; runtime_surface="), "norm_surface")).otherwise("")
+    cost = F.when(F.col("runtime_cost").isNotNull(), F.concat(lit("; runtime_cost="), text("runtime_cost"))).otherwise("")
+    return F.concat("tango", lit(" [cost="), text("cost"), lit("; status="), F.lower("status"), lit("; score="), text("score"), lit("; flags="), _flag_text(), surface, cost, lit("]"))
+
+
+def candidate_report(assessment: DataFrame) -> DataFrame:
+    """For each reading as it stands: counts by status, and the candidates of each joined by bars, by runtime cost and surface."""
+    item = F.struct(_rank().alias("k"), F.coalesce("runtime_cost", F.lit(2147483647)).alias("c"), "tango", "ord", described().alias("t"))
+    listed = assessment.groupBy("yomi").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    of = lambda k: F.filter("all", lambda x: x["k"] == k)
+    joined = lambda k: F.array_join(F.transform(of(k), lambda x: x["t"]), " | ")
+    names = ("primary", "review", "excluded")
+    return listed.select(
+        F.col("yomi").alias("reading"), X.normalize_reading(F.col("yomi")).alias("normalized_reading"), F.size("all").alias("candidate_count"),
+        *[F.size(of(k)).alias(f"{n}_count") for k, n in enumerate(names)], *[joined(k).alias(f"{n}_candidates") for k, n in enumerate(names)])
 
 
-def markdown_summary(assessment: DataFrame) -> str:
-    """The counts and the flag histogram as a Markdown text."""
-    counts, flags = summary(assessment).first().asDict(), {r["flag"]: r["n"] for r in flag_counts(assessment).collect()}  # 17 flags at most
+def quality_rows(assessment: DataFrame) -> DataFrame:
+    """A row for each entry, numbered from 1 in source order, with its decision and flags."""
+    numbered = ranked(assessment, "ord", "entry_index")
+    return numbered.select(
+        (F.col("entry_index") + 1).alias("entry_index"), F.col("yomi").alias("reading"), F.col("norm_reading").alias("normalized_reading"), F.col("tango").alias("english_candidate"),
+        F.col("norm_surface").alias("normalized_surface"), F.col("cost").alias("source_cost"), "runtime_cost", F.lower("status").alias("status"), "score", _flag_text().alias("flags"))
+
+
+def markdown_summary(assessment: DataFrame, source: str = "") -> str:
+    """The counts of the dictionary and its quality, and the flag histogram, as a Markdown text."""
+    whole, counts = dictionary_summary(assessment).first().asDict(), summary(assessment).first().asDict()
+    flags = {r["flag"]: r["n"] for r in flag_counts(assessment).collect()}  # 17 flags at most
+    whole |= {"duplicate_rows": whole["entries"] - whole["pairs"], "average_candidates": f"{whole['entries'] / whole['readings'] if whole['readings'] else 0:.3f}"}
     table = lambda rows: ["| what | n |", "| --- | ---: |", *(f"| {k.replace('_', ' ')} | {v} |" for k, v in rows)]
-    return "\n".join(["# Reading dictionary", "", *table(counts.items()), "", "## Flags", "", *table((f, flags[f]) for f in FLAGS if f in flags), ""])
+    head = ["# Reading dictionary", "", *([f"Source: {source}", ""] if source else [])]
+    return "\n".join([*head, *table(whole.items()), "", "## Quality", "", *table(counts.items()), "", "## Flags", "", *table((f, flags[f]) for f in FLAGS if f in flags), ""])
+
+
+def check(rows: DataFrame) -> dict[str, int]:
+    """Counts of a reading dictionary; empty ones, pairs given twice and ones without runtime rows are errors."""
+    assessment = assessed(rows)
+    whole, quality = dictionary_summary(rows).first().asDict(), summary(assessment).first().asDict()
+    if not whole["entries"]:
+        raise ValidationError("the reading dictionary is empty")
+    require_none(repeated(rows, ["yomi", "tango"]), "reading and surface given twice")
+    if not quality["runtime_entries"]:
+        raise ValidationError("no row of the reading dictionary can be used")
+    require_none(assessed(runtime_rows(assessment).select(*rows.columns)).where(F.col("status") != PRIMARY), "runtime rows that are not primary")
+    return whole | quality

@@ -221,7 +221,7 @@ def front_code_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH per AS (SELECT p_type, count(*) AS n FROM part GROUP BY p_type)
     SELECT (SELECT count(*) FROM per) AS readings, (SELECT count(*) FROM per WHERE n = 1) AS single, (SELECT count(*) FROM per WHERE n > 1) AS multiple, (SELECT max(n) FROM per) AS largest,
-      count(*) AS entries, count(DISTINCT p_name) AS surfaces, count(DISTINCT p_type || '|' || p_name) AS pairs, min(length(p_name)) AS min_length, max(length(p_name)) AS max_length, CAST(min(p_size) AS BIGINT) AS min_cost, CAST(max(p_size) AS BIGINT) AS max_cost FROM part""")
+      count(*) AS entries, count(DISTINCT p_name) AS surfaces, count(DISTINCT p_type || '|' || p_name) AS pairs, min(length(p_type)) AS min_length, max(length(p_type)) AS max_length, CAST(min(p_size) AS BIGINT) AS min_cost, CAST(max(p_size) AS BIGINT) AS max_cost FROM part""")
 def dictionary_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.summary(_t(spark, sf_dir, "part").select(F.col("p_type").alias("yomi"), F.col("p_name").alias("tango"), F.col("p_size").alias("cost")))
 
@@ -362,12 +362,26 @@ def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.flag_counts(Q.assessed(_loanwords(spark, sf_dir)))
 
 
-@query(f"""{_ASSESSED} SELECT reading, count(*) AS entries, coalesce(string_agg(s, ' | ' ORDER BY cost, s) FILTER (status = 'PRIMARY'), '') AS "primary",
-    coalesce(string_agg(s, ' | ' ORDER BY s) FILTER (status = 'REVIEW'), '') AS review, coalesce(string_agg(s, ' | ' ORDER BY s) FILTER (status = 'EXCLUDED'), '') AS excluded FROM a GROUP BY reading""")
+_DESCRIBED = f"""{_ASSESSED}, e AS (SELECT *, lower(status) AS low_status, CASE WHEN len(flags) = 0 THEN '-' ELSE array_to_string(flags, ',') END AS flag_text, CASE WHEN status = 'PRIMARY' THEN cost END AS runtime_cost,
+      CASE status WHEN 'PRIMARY' THEN 100 WHEN 'EXCLUDED' THEN 0 ELSE greatest(40, 100 - 20 * len(list_filter(flags, lambda x: x IN ('explanatory-gloss', 'long-definition', 'definition-fragment')))) END AS score FROM a)"""
+
+
+@query(f"""{_DESCRIBED}, t AS (SELECT *, tango || ' [cost=' || cost || '; status=' || low_status || '; score=' || score || '; flags=' || flag_text
+      || CASE WHEN s <> tango THEN '; runtime_surface=' || s ELSE '' END || CASE WHEN runtime_cost IS NOT NULL THEN '; runtime_cost=' || runtime_cost ELSE '' END || ']' AS said FROM e)
+    SELECT yomi AS reading, min(reading) AS normalized_reading, CAST(count(*) AS INTEGER) AS candidate_count,
+      {", ".join(f"CAST(count(*) FILTER (low_status = '{x}') AS INTEGER) AS {x}_count, coalesce(string_agg(said, ' | ' ORDER BY coalesce(runtime_cost, 2147483647), tango, ord) FILTER (low_status = '{x}'), '') AS {x}_candidates" for x in ("primary", "review", "excluded"))}
+    FROM t GROUP BY yomi""")
 def candidate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.candidate_report(Q.assessed(_loanwords(spark, sf_dir)))
 
 
+@query(f"""{_DESCRIBED} SELECT row_number() OVER (ORDER BY ord) AS entry_index, yomi AS reading, reading AS normalized_reading, tango AS english_candidate, s AS normalized_surface,
+    CAST(cost AS SMALLINT) AS source_cost, CAST(runtime_cost AS INTEGER) AS runtime_cost, low_status AS status, CAST(score AS INTEGER) AS score, flag_text AS flags FROM e""")
+def quality_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of the quality report for each entry."""
+    return Q.quality_rows(Q.assessed(_loanwords(spark, sf_dir)))
+
+
 @query(f"{_ASSESSED}, r AS (SELECT *, row_number() OVER (PARTITION BY reading, low ORDER BY cost, ord) AS k FROM a WHERE status = 'PRIMARY') SELECT reading AS yomi, s AS tango, CAST(cost AS SMALLINT) AS cost, ord FROM r WHERE k = 1")
 def runtime_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.runtime_rows(Q.assessed(_loanwords(spark, sf_dir))).select("yomi", "tango", "cost", "ord")
