@@ -171,22 +171,22 @@ def build_report(rules: DataFrame) -> DataFrame:
     return counts.join(one.select(F.explode("w").alias("x")).agg(F.countDistinct("x").alias("words")))  # two single rows
 
 
-def compiled(rules: DataFrame) -> DataFrame:
-    """Rules with their signature, key and order, refused outside orders 1 to 5 or if single rules are not words."""
+def compiled(rules: DataFrame, beginnings: bool = False) -> DataFrame:
+    """Rules with their signature, key and order, refused outside orders 1 to 5 or if single rules are not words (unless they are beginnings)."""
     kinds = F.transform("features", lambda f: f["kind"])
     n = F.size("features")
-    ok = n.between(1, 5) & ((n > 1) | (F.get(kinds, F.lit(0)) == X.KINDS["word"]))
+    ok = n.between(1, 5) & (F.lit(beginnings) | (n > 1) | (F.get(kinds, F.lit(0)) == X.KINDS["word"]))
     checked = F.when(ok, n).otherwise(F.raise_error(F.lit("a rule of an order that cannot be matched")).cast("int"))
     return rules.select("features", checked.alias("n"), X.signature(kinds).alias("signature"), X.canonical(F.col("features")).alias("rule"))
 
 
-def matching_windows(tokens: DataFrame, rules: DataFrame, by: list[str], order: str, word: str, pos: str | None = None) -> DataFrame:
+def matching_windows(tokens: DataFrame, rules: DataFrame, by: list[str], order: str, word: str, pos: str | None = None, beginnings: bool = False) -> DataFrame:
     """(by, order, rule): where a rule matches the sequence of tokens that begins there.
 
     One pass: the next four tokens come from a window; each signature in use (at most a few
     dozen) makes one key, and one equi-join looks all keys up.
     """
-    made = compiled(rules)
+    made = compiled(rules, beginnings)
     signatures = [r[0] for r in made.select("signature").distinct().collect()]  # at most 363
     w = W.partitionBy(*by).orderBy(order)
     ahead = tokens.select(*by, order, *[F.lead(word, k).over(w).alias(f"w{k}") for k in range(5)], *[(F.lead(pos, k).over(w) if pos else F.lit(None).cast("string")).alias(f"p{k}") for k in range(5)])
@@ -205,6 +205,12 @@ def matching_windows(tokens: DataFrame, rules: DataFrame, by: list[str], order:
     return looked.join(made.select("rule").distinct(), "rule", "left_semi").select(*by, order, "rule")
 
 
+def may_begin(tokens: DataFrame, rules: DataFrame, by: list[str], order: str, word: str, pos: str | None = None, nodes: int = 2) -> DataFrame:
+    """(by, order) of the places where the first one or two features of a rule match: no rule begins anywhere else."""
+    begin = rules.select(F.slice("features", 1, nodes).alias("features")).distinct()
+    return matching_windows(tokens, begin, by, order, word, pos, True).select(*by, order).distinct()
+
+
 def matching_paths(ranked: DataFrame, rules: DataFrame, pos: DataFrame | None = None) -> DataFrame:
     """(input, rank) of the paths that a rule matches anywhere; ``pos`` (id, name) gives the coarse part of speech of a left id."""
     nodes = ranked.select("input", "rank", F.posexplode("path").alias("at", "node")).select("input", "rank", "at", X.nfc(F.col("node.value")).alias("word"), F.col("node.lid").alias("id"))

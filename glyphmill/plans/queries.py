@@ -148,6 +148,14 @@ def ngram_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.matching_windows(events, _rules(spark, _EVENT_RULES), ["user_id"], "ts", "word", "pos")
 
 
+@query("""WITH e AS (SELECT user_id, ts, event_type AS w0, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS w1 FROM events)
+    SELECT user_id, ts FROM e WHERE (w0 = 'view' AND w1 = 'click') OR (w0 = 'click' AND w1 IS NOT NULL) OR (w0 = 'error' AND left(w1, 1) = 's') OR (w0 = 'signup' AND w1 = 'view') OR (left(w0, 1) = 'p' AND w1 IS NOT NULL) OR w0 = 'error'""")
+def ngram_may_begin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places where the first two features of a rule match."""
+    events = _t(spark, sf_dir, "events").select("user_id", "ts", F.col("event_type").alias("word"), F.substring("event_type", 1, 1).alias("pos"))
+    return N.may_begin(events, _rules(spark, _EVENT_RULES), ["user_id"], "ts", "word", "pos")
+
+
 @query("""SELECT r_name || '+' || n_name || '+' || w AS rule, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey CROSS JOIN (SELECT unnest(['a', 'b', 'b']) AS w)
     GROUP BY ALL HAVING count(*) > 1""")
 def ngram_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,6 +404,18 @@ def fk_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.orphans(rows, _t(spark, sf_dir, "part").where("p_size < 25"), {"l_partkey": "p_partkey"})
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey AS left_id, l_suppkey AS right_id FROM lineitem WHERE l_partkey NOT BETWEEN 0 AND 89 OR l_suppkey NOT BETWEEN 0 AND 89")
+def id_range_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with an id outside a range."""
+    return V.bad_ids(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("left_id"), F.col("l_suppkey").alias("right_id")), 90)
+
+
+@query("""SELECT c.name, CAST(row_number() OVER (ORDER BY c.name) AS INTEGER) AS id FROM (SELECT DISTINCT string_split(p_name, ' ')[1] AS name FROM part) c""")
+def coarse_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of the part names' first words."""
+    return N.coarse_classes(_t(spark, sf_dir, "part").select(F.replace("p_name", F.lit(" "), F.lit(",")).alias("name")))
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def dup_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.repeated(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])

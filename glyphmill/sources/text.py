@@ -28,15 +28,26 @@ def lines(spark: SparkSession, path: str | list[str], glob: str | None = None, r
     )
 
 
+def _skipped() -> Column:
+    v = X.trim_blank(F.col("value"))
+    return F.col("value").isNull() | (v == "") | v.startswith("#")
+
+
 def meaningful(df: DataFrame) -> DataFrame:
     """Without blank lines and comments."""
-    v = X.trim_blank(F.col("value"))
-    return df.where((v != "") & ~v.startswith("#"))
+    return df.where(~_skipped())
+
 
+def _checked(ok: Column, value: Column, message: str, comments: bool = True) -> Column:
+    """The value, or an error with the file, line and text.
 
-def _checked(ok: Column, value: Column, message: str) -> Column:
-    """The value, or an error with the file, line and text."""
-    return F.when(ok, value).otherwise(F.raise_error(F.concat(F.lit(message + ": "), F.col("path"), F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), F.col("value"))))
+    Where files may have comments, blank and comment lines give null: the optimizer may move a
+    check in front of the filter that takes them away.
+    """
+    checked = F.when(ok, value)
+    if comments:
+        checked = checked.when(_skipped(), None)
+    return checked.otherwise(F.raise_error(F.concat(F.lit(message + ": "), F.col("path"), F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), F.col("value"))))
 
 
 def _short(c: Column) -> Column:
@@ -54,12 +65,12 @@ def dictionary(spark: SparkSession, path: str | list[str], mode: str = "permissi
     if mode == "permissive":
         df = df.where(F.size(f) == 5)
     elif mode == "failfast":
-        df = df.withColumn("value", _checked(F.size(f) == 5, F.col("value"), "five fields are needed"))
+        df = df.withColumn("value", _checked(F.size(f) == 5, F.col("value"), "five fields are needed", False))
     else:
         raise ValueError(f"unknown mode: {mode}")
     numbers = [_short(F.get(f, F.lit(i))) for i in (1, 2, 3)]
     if mode == "failfast":
-        numbers = [_checked(n.isNotNull(), n, "not a short number") for n in numbers]
+        numbers = [_checked(n.isNotNull(), n, "not a short number", False) for n in numbers]
     out = df.select(F.get(f, F.lit(0)).alias("yomi"), *[n.alias(c) for n, c in zip(numbers, ("left_id", "right_id", "cost"))], F.get(f, F.lit(4)).alias("tango"), F.lit(src).cast("string").alias("src") if src else F.col("path").alias("src"), F.col("line_no").alias("ord"))
     return out.dropna(subset=["left_id", "right_id", "cost"]) if mode == "permissive" else out
 
@@ -173,7 +184,7 @@ def connection_matrix(spark: SparkSession, path: str) -> DataFrame:
     body = df.where("line_no > 1").join(F.broadcast(n), "path")  # a row for each file
     at = F.col("line_no") - 2
     ok = (F.col("n") > 0) & (at < F.col("n").cast("long") * F.col("n")) & F.col("value").rlike("^[+-]?[0-9]+$") & F.col("value").try_cast("smallint").isNotNull()
-    cells = body.select("path", "n", at.alias("at"), _checked(ok, F.col("value").try_cast("smallint"), "not a matrix cell").alias("cost"))
+    cells = body.select("path", "n", at.alias("at"), _checked(ok, F.col("value").try_cast("smallint"), "not a matrix cell", False).alias("cost"))
     short = n.join(cells.groupBy("path").agg(F.count("cost").alias("c")), "path", "left").where(~((F.col("n") > 0) & (F.coalesce("c", F.lit(0)) == F.col("n").cast("long") * F.col("n"))) | F.col("n").isNull())
     if not short.isEmpty():
         raise ValueError(f"connection matrix of another size than its first line says: {path}")
@@ -184,7 +195,7 @@ def id_definitions(spark: SparkSession, path: str) -> DataFrame:
     """(id, name, line_no) of ``<id> <name>`` lines; blank lines are faults too."""
     m = lambda i: F.regexp_extract("value", r"^([0-9]+)\s+(\S.*)$", i)
     ok = F.col("value").rlike(r"^[0-9]+\s+\S")
-    return lines(spark, path).select(_checked(ok, m(1).try_cast("int"), "not an id and a name").alias("id"), m(2).alias("name"), "line_no")
+    return lines(spark, path).select(_checked(ok, m(1).try_cast("int"), "not an id and a name", False).alias("id"), m(2).alias("name"), "line_no")
 
 
 def zero_query_rules(spark: SparkSession, path: str, kind: int = NONE, custom: bool = False) -> DataFrame:
@@ -247,6 +258,21 @@ def zero_query_symbols(spark: SparkSession, path: str) -> DataFrame:
     return out.select("key", "value", F.lit(NONE).cast("smallint").alias("type"), (F.col("line_no") * 100_000 + F.col("p")).alias("ord"))
 
 
+def generic_noun_id(defs: DataFrame) -> int:
+    """The first id of a generic noun, or else of a noun."""
+    part = F.split("name", ",")
+    nouns = defs.where(F.get(part, F.lit(0)) == "名詞")
+    found = nouns.agg(F.min(F.when(F.get(part, F.lit(1)) == "一般", F.col("id"))), F.min("id")).first()
+    if found[1] is None:
+        raise ValueError("the id definitions have no noun")
+    return found[1] if found[0] is None else found[0]
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """A tab-separated table with a header line, unquoted, in the order of the frame."""
+    df.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="")
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     """Columns joined by tabs, one line a row, in the order of the frame; null is empty."""
     df.select(F.concat_ws("\t", *[F.coalesce(F.col(f"`{f.name}`").cast("string"), F.lit("")) for f in df.schema.fields])).write.mode("overwrite").text(path)
