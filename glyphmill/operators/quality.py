@@ -50,13 +50,12 @@ PRIMARY, REVIEW, EXCLUDED = "PRIMARY", "REVIEW", "EXCLUDED"
 
 def _conditions(yomi: Column, tango: Column, reading: Column, surface: Column) -> dict[str, Column]:
     """The condition of each flag, in order."""
-    low = F.lower(surface)
-    bare = X.trim_blank(low)
+    low = F.lower(surface)  # of a surface without blanks around it
     size = X.utf16_length(surface)
     spaces = F.length(surface) - F.length(F.replace(surface, F.lit(" "), F.lit("")))
     vocal = X.is_vocalization(reading)
-    numeric = bare.isin(*NUMERIC_WORDS) | bare.rlike("^[0-9]+(?:st|nd|rd|th)?$") | (bare.rlike(r"\p{Nd}") & bare.rlike(r"^[\p{Nd}^+\-*/=.]+$"))
-    interjection = bare.isin(*INTERJECTIONS) | (bare.isin(*SHORT_RESPONSES) & ((X.utf16_length(reading) <= 2) | vocal))
+    numeric = low.isin(*NUMERIC_WORDS) | low.rlike("^[0-9]+(?:st|nd|rd|th)?$") | (low.rlike(r"^[\p{Nd}^+\-*/=.]+$") & low.rlike(r"\p{Nd}"))
+    interjection = low.isin(*INTERJECTIONS) | (low.isin(*SHORT_RESPONSES) & ((X.utf16_length(reading) <= 2) | vocal))
     return dict(zip(FLAGS, (
         reading != yomi,
         surface != tango,
@@ -111,10 +110,12 @@ def flag_counts(assessment: DataFrame) -> DataFrame:
 
 
 def summary(assessment: DataFrame) -> DataFrame:
-    """One row of counts by status, of runtime rows, and of readings."""
-    raw = assessment.agg(F.count(F.lit(1)).alias("raw_entries"), *[F.count_if(F.col("status") == s).alias(f"{s.lower()}_entries") for s in (PRIMARY, REVIEW, EXCLUDED)], F.countDistinct("yomi").alias("raw_readings"))
-    run = runtime_rows(assessment).agg(F.count(F.lit(1)).alias("runtime_entries"), F.countDistinct("yomi").alias("runtime_readings"))
-    return raw.join(run)  # two single rows
+    """One row of counts by status, of runtime rows, and of readings; one pass, as each different primary pair is a runtime row."""
+    primary = lambda c: F.when(F.col("status") == PRIMARY, c)
+    few = assessment.select("yomi", "status", primary(F.col("norm_reading")).alias("reading"), primary(F.lower("norm_surface")).alias("surface"))
+    return few.agg(
+        F.count(F.lit(1)).alias("raw_entries"), *[F.count_if(F.col("status") == s).alias(f"{s.lower()}_entries") for s in (PRIMARY, REVIEW, EXCLUDED)],
+        F.countDistinct("yomi").alias("raw_readings"), F.countDistinct("reading", "surface").alias("runtime_entries"), F.countDistinct("reading").alias("runtime_readings"))
 
 
 def _rank() -> Column:
