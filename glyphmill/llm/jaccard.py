@@ -78,11 +78,14 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return inter
 
 
-def verify(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray, band: int, threshold: float) -> np.ndarray:
-    """Which pairs of a bucket (or of two of its blocks) are links that no earlier band has found; symmetric."""
+def verify(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray | None, band: int, threshold: float) -> np.ndarray:
+    """Which pairs of a bucket or block are links that no earlier band has found; symmetric.
+
+    ``side`` parts the members of two blocks, of which only pairs across count; None for members of one.
+    """
     m = len(sets)
     new = ~np.eye(m, dtype=bool)
-    if side.any() and not side.all():
+    if side is not None:
         new &= side[:, None] != side[None, :]
     for k in range(band):
         new &= keys[:, k][:, None] != keys[:, k][None, :]
@@ -182,7 +185,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
             members = list(group.values())
             if len(members) < 2:
                 return
-            link = verify([g[3] for g in members], np.array([g[2] for g in members]), np.zeros(len(members), int) if whole else np.array([g[4] for g in members]), band, threshold)
+            link = verify([g[3] for g in members], np.array([g[2] for g in members]), None if whole else np.array([g[4] for g in members]), band, threshold)
             found = np.flatnonzero(link.any(1))
             if not len(found):
                 return

@@ -226,6 +226,18 @@ def test_jaccard(spark, odd, none, docs, block, monkeypatch):
     assert 1 - (1 - 0.8**n) ** bands >= jaccard.RECALL and bands * n <= jaccard.HASHES
 
 
+def test_jaccard_with_empty_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 1)
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        rows = []
+        for k in range(4):
+            w = [f"w{x}" for x in rng.integers(0, 1000, 60)]
+            rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w, "more"]))]
+        got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {(r.doc_id, r.class_id, r.n_links, r.n_copies, r.n_linked_sets) for r in got} == {(i, i - i % 2, 1, 0, 1) for i in range(8)}
+
+
 def test_overlaps():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(30)]
