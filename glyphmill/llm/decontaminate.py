@@ -36,7 +36,7 @@ def _anchor(n: int) -> int:
 
 
 def _probe(n: int, hashes: list[int]) -> Column:
-    """Windows (at, n) of the folded words ``w`` that hold an aligned anchor of which the hash is in the set."""
+    """Windows (at, n) of the words ``w`` that hold an aligned anchor of which the hash is in the set."""
     b, size = _anchor(n), F.size("w")
     numbers = ",".join(f"{h}L" if h > -(1 << 63) else "-9223372036854775807L - 1L" for h in hashes)
     # one text for the parser: thousands of literals would each be a call to the JVM
@@ -53,20 +53,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col: str =
     The n-grams of the benchmark are counted, and broadcast in blocks of ``most``: as a
     set of hashes of their inner anchors, which the documents' words are probed with, and as a
     table that the few windows around a probed anchor are joined with on the words themselves,
-    so a chance hit of hashes does not count.  Probing folds case further than the join, which loses nothing.
+    so a chance hit of hashes does not count.  Both fold case alike, A-Z only and free of context.
     A block is one pass over the documents; benchmarks of up to ``most`` n-grams need one.
     """
     grams = persisted(benchmark_ngrams(benchmark, size))
     n_grams = grams.count()
     blocks = max(1, -(-n_grams // most))
     grams = grams.withColumn("block", F.pmod(F.xxhash64("gram", F.lit(5)), F.lit(blocks)))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), split_words(F.lower(text_col)).alias("w"))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), words(F.col(text_col)).alias("w"))
     passes = []
     for block in range(blocks):
         own = grams.where(F.col("block") == block)
-        folded = F.split(F.lower("gram"), " ")
+        gram_words = F.split("gram", " ")
         b = F.floor((F.col("n") + 1) / 2).cast("int")
-        anchors = own.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - b + 1), lambda i: F.xxhash64(F.slice(folded, i, b)))).alias("hash"))
+        anchors = own.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - b + 1), lambda i: F.xxhash64(F.slice(gram_words, i, b)))).alias("hash"))
         found = {n: list(h) for n, h in anchors.groupBy("n").agg(F.collect_set("hash")).collect()}  # a few times ``most`` numbers
         probes = [_probe(n, h) for n, h in sorted(found.items())]
         none = F.array().cast("array<struct<at:int,n:int>>")

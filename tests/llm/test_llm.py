@@ -111,6 +111,17 @@ def test_decontamination(spark, odd, none, most):
         assert not decontaminate.flagged(odd, bench.limit(0)).where("contaminated").count()
 
 
+def test_decontamination_folds_case_without_context(spark):
+    texts = ["Α.Σ. ΚΑΙ", "ΟΔΟΣ.Α", "x:Σ'Y ΟΣ", "İ.Σ ΣΑΣ", "plain ΑΣ’Σ words"]
+    df = spark.createDataFrame([(i, f"before {t} behind") for i, t in enumerate(texts)], "doc_id long, text string")
+    items = [(i, " ".join(words(t))) for i, t in enumerate(texts)] + [(10 + i, t) for i, t in enumerate(texts)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    split = [(i, words(t)) for i, t in items]
+    for r in decontaminate.scan(df, bench).collect():
+        n, hit, found = brute_hits(texts[r.doc_id].join(["before ", " behind"]), split)
+        assert found == sorted([str(r.doc_id), str(10 + r.doc_id)]) and (r.n_words, len(r.hits), r["items"]) == (n, hit, found)
+
+
 def test_chat(spark):
     texts = ["</s>[INST] ok [/INST]", "", None, "a\\b [\\INST] [\\\\/INST] <\\s>", "<|endoftext|> tail ", " lead\n", "é😀"]
     rows = [(c, t, role, x) for c in (1, None) for t, (role, x) in enumerate([("user", texts[0]), ("assistant", texts[0]), (None, None), *[("assistant", x) for x in texts]])]
