@@ -37,6 +37,8 @@ def repeats(tokens: dict, weights: dict, budget: float | None) -> dict:
     ratio = {s: weights[s] / n for s, n in tokens.items() if n}
     if budget is None:
         budget = 1 / min(ratio.values()) if ratio else 0
+        # x * (1 / x) may round to less than 1, and a pass less than whole leaves blocks without tokens out
+        return {s: max(1.0, ratio[s] * budget) if n else 1.0 for s, n in tokens.items()}
     return {s: ratio[s] * budget if n else 1.0 for s, n in tokens.items()}
 
 

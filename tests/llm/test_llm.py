@@ -166,6 +166,14 @@ def test_mixing(odd, none, docs):
     assert 0 < half.count() < len(n)
 
 
+def test_mixing_takes_every_source_whole():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        tokens = {s: int(n) for s, n in enumerate(rng.integers(1, 1_000_000, 4))}
+        weights = mixing.temperature(tokens, mixing.bisect_exponent(tokens, max_repeats=2.0))
+        assert min(mixing.repeats(tokens, weights, None).values()) >= 1
+
+
 def test_sharding(odd, none, docs):
     assert sharding.shards(none).count() == 0
     for df, limit in ((docs, 20_000), (odd, 70_000), (docs, 1 << 40)):
