@@ -109,26 +109,8 @@ def _spanning(link: np.ndarray) -> np.ndarray:
         root = low
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", bands: tuple[int, int] | None = None) -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links, n_copies, n_linked_sets.
-
-    Two documents are linked if the sets of their word 5-grams have Jaccard similarity 0.8 or
-    more; a text of one to four words is one n-gram; texts without words (null, empty) are
-    linked with nothing.  class_id: the least id of the documents that links connect;
-    n_links: the other documents that a document is linked with, copies with the same set
-    (n_copies) among them; n_linked_sets: the different sets among them.  Null ids are in
-    classes but never name one; repeated rows count as often as they stand; other columns are
-    ignored; an empty table gives an empty result.
-
-    1. One pass gives each text a digest of its set and band hashes; equal sets become one.
-    2. Band hashes are shuffled; buckets of one set go, of buckets with the same members one stays.
-    3. Only sets in a bucket are made again and sent there once for each bucket.  A bucket
-       over the block size is verified in pairs of blocks.  A pair is decided in the first
-       band that it shares.  Counts and a spanning link for each set leave the task, never pairs.
-    4. Stars over the spanning links give the classes.
-
-    Candidates are found with the probability ``recall`` at the threshold, more above it; what is found is exact.
-    """
+def _linked(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", bands: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with the digests of their texts and sets, different sets, linked sets with counts and a spanning link), by steps 1 to 3 of ``near_duplicates``."""
     spark = docs.sparkSession
     small_batches(spark)
     n_bands, n_rows = bands or plan_bands(threshold, recall)
@@ -219,7 +201,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
                 out = []
         yield _rows(out)
 
-    found = persisted(sent.mapInArrow(decide, "digest binary, n_docs long, n_sets long, root binary"))
+    return signed, sets, persisted(sent.mapInArrow(decide, "digest binary, n_docs long, n_sets long, root binary"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", bands: tuple[int, int] | None = None) -> DataFrame:
+    """One row per input row: doc_id, class_id, n_links, n_copies, n_linked_sets.
+
+    Two documents are linked if the sets of their word 5-grams have Jaccard similarity 0.8 or
+    more; a text of one to four words is one n-gram; texts without words (null, empty) are
+    linked with nothing.  class_id: the least id of the documents that links connect;
+    n_links: the other documents that a document is linked with, copies with the same set
+    (n_copies) among them; n_linked_sets: the different sets among them.  Null ids are in
+    classes but never name one; repeated rows count as often as they stand; other columns are
+    ignored; an empty table gives an empty result.
+
+    1. One pass gives each text a digest of its set and band hashes; equal sets become one.
+    2. Band hashes are shuffled; buckets of one set go, of buckets with the same members one stays.
+    3. Only sets in a bucket are made again and sent there once for each bucket.  A bucket
+       over the block size is verified in pairs of blocks.  A pair is decided in the first
+       band that it shares.  Counts and a spanning link for each set leave the task, never pairs.
+    4. Stars over the spanning links give the classes.
+
+    Candidates are found with the probability ``recall`` at the threshold, more above it; what is found is exact.
+    """
+    signed, sets, found = _linked(docs, threshold, shingle, recall, id_col, text_col, bands)
     counts = found.groupBy("digest").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_sets").alias("n_sets"))
     roots = components(found.select(F.col("digest").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "digest")
     named = roots.join(sets.select("digest", "least"), "digest")
@@ -238,10 +243,24 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.binary()))], ["digest", "n_docs", "n_sets", "root"])
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, without those that another document of their class stands for.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, all columns, one row of each class; rows without words all stay.
 
-    The one with the class's id stays; rows with a null id or without words stay.
+    The row with the class's least id stays, null ids last; of equal ids the one whose text has the least digest.
+    Rows are matched by id and a digest of the text, so null and repeated ids are safe; of
+    repeated rows of that document any one stays.
     """
-    gone = near_duplicates(docs, **options).where("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    signed, _, found = _linked(docs, id_col=id_col, text_col=text_col, **options)
+    keys = signed.where("size > 0").groupBy("digest", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("first")
+    roots = components(found.select(F.col("digest").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "digest")
+    sets = keys.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n_keys")).join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    classes = sets.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n_keys").alias("n_keys")).where("n_keys > 1 or stays.n > 1")
+    plan = persisted(sets.join(classes.select("root", "stays"), "root").select("digest", F.col("stays.doc_id").alias("__id"), F.col("stays.th").alias("__md5"), F.col("stays.n").alias("n")))
+    gone = keys.drop("n").join(plan.drop("n"), "digest").where(~(F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__md5")))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__md5"))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__md5"))
+    left = docs.withColumn("__th", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))).join(gone, same, "left_anti")
+    repeated = plan.where("n > 1").select("__id", "__md5").distinct()
+    if not repeated.isEmpty():  # only their texts are shuffled once more
+        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates([id_col, "__th"]))
+    return left.drop("__th")

@@ -257,6 +257,18 @@ def test_jaccard_with_empty_blocks(spark, monkeypatch):
         assert {(r.doc_id, r.class_id, r.n_links, r.n_copies, r.n_linked_sets) for r in got} == {(i, i - i % 2, 1, 0, 1) for i in range(8)}
 
 
+def test_one_of_each_by_id_and_text(spark):
+    rng = np.random.default_rng(9)
+    a, b, c, d = (" ".join(f"w{x}" for x in rng.integers(0, 1000, 60)) for _ in range(4))
+    rows = [(1, a), (1, a), (5, a + " more"), (5, b), (None, a + " x"), (6, c), (6, c + " y"), (None, d), (None, d), (None, d + " z"), (8, None), (8, None), (None, "")]
+    df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, row int")
+    out = jaccard.one_of_each(df)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == df.columns and Counter(got) - Counter(rows) == Counter()
+    assert sorted(i for i, t in got if t and i) == [1, 5, 6] and (5, b) in got
+    assert sum(i is None and bool(t) and t.startswith(d) for i, t in got) == 1 and sum(not t for _, t in got) == 3 and len(got) == 7
+
+
 def test_overlaps():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(30)]
