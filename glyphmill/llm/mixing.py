@@ -22,8 +22,8 @@ SOURCES = 1_000_000
 
 def temperature(tokens: dict, exponent: float) -> dict:
     """Weights in proportion to the token shares to the power of the exponent."""
-    total = sum(tokens.values())
-    raw = {s: (n / total) ** exponent if n else 0.0 for s, n in tokens.items()}
+    most = max(tokens.values(), default=0)  # as shares of the largest, which no exponent lets vanish
+    raw = {s: (n / most) ** exponent if n else 0.0 for s, n in tokens.items()}
     norm = sum(raw.values())
     return {s: x / norm if norm else 0.0 for s, x in raw.items()}
 
@@ -36,6 +36,8 @@ def repeats(tokens: dict, weights: dict, budget: float | None) -> dict:
     """How often each source is passed through; without a budget the least one that covers every source once."""
     ratio = {s: weights[s] / n for s, n in tokens.items() if n}
     if budget is None:
+        if not all(ratio.values()):
+            raise ValueError("a source's weight vanishes, so no budget takes it whole; give a budget")
         budget = 1 / min(ratio.values()) if ratio else 0
         # x * (1 / x) may round to less than 1, and a pass less than whole leaves blocks without tokens out
         return {s: max(1.0, ratio[s] * budget) if n else 1.0 for s, n in tokens.items()}
@@ -43,11 +45,12 @@ def repeats(tokens: dict, weights: dict, budget: float | None) -> dict:
 
 
 def bisect_exponent(tokens: dict, budget: float | None = None, max_repeats: float | None = None, target_entropy: float | None = None) -> float:
-    """The exponent in [0, 1] that meets the target: 0 is even weights, 1 the natural shares.
+    """The exponent that meets the target: 0 is even weights, 1 the natural shares, more favours large sources.
 
-    ``max_repeats``: the least exponent by which no source is passed through more often.
+    ``max_repeats``: the least exponent in [0, 1] by which no source is passed through more
+    often; 1 where the budget needs more repeats, as no other exponent needs fewer.
     ``target_entropy`` (nats): the exponent whose weights have that entropy, which falls as
-    the exponent grows.  Out of reach, the nearer end is given.
+    the exponent grows; 0 for more than even weights have.  A target that no exponent reaches is refused.
     """
     tokens = {s: n for s, n in tokens.items() if n}
     if not tokens:
@@ -60,10 +63,16 @@ def bisect_exponent(tokens: dict, budget: float | None = None, max_repeats: floa
         return max(repeats(tokens, w, budget).values()) <= max_repeats if max_repeats is not None else entropy(w) <= target_entropy
 
     low, high = 0.0, 1.0
+    if target_entropy is not None and target_entropy <= math.log(list(tokens.values()).count(max(tokens.values()))) and len(set(tokens.values())) > 1:
+        raise ValueError("no exponent reaches so low an entropy")  # the largest sources alone, evenly, are the limit
     if flat_enough(low):
         return low
-    if not flat_enough(high):
+    if max_repeats is not None and not flat_enough(high):
         return high
+    while not flat_enough(high):
+        if high > 2.0**64:
+            raise ValueError("no exponent reaches so low an entropy")
+        low, high = high, 2 * high
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (low, mid) if flat_enough(mid) else (mid, high)

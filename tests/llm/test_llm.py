@@ -174,6 +174,19 @@ def test_mixing_takes_every_source_whole():
         assert min(mixing.repeats(tokens, weights, None).values()) >= 1
 
 
+def test_mixing_meets_low_entropies():
+    tokens = {"a": 900, "b": 90, "c": 10, "d": 0}
+    for target in (0.3, 0.05, 1e-4):
+        e = mixing.bisect_exponent(tokens, target_entropy=target)
+        assert e > 1 and mixing.entropy(mixing.temperature(tokens, e)) == pytest.approx(target, rel=1e-6)
+    close = {"a": 1_000_001, "b": 1_000_000}
+    e = mixing.bisect_exponent(close, target_entropy=0.2)
+    assert mixing.entropy(mixing.temperature(close, e)) == pytest.approx(0.2, rel=1e-6)
+    for bad, target in ((tokens, 0.0), (tokens, -1.0), ({"a": 5, "b": 5, "c": 1}, 0.6), ({"a": 5, "b": 5}, 0.6)):
+        with pytest.raises(ValueError):
+            mixing.bisect_exponent(bad, target_entropy=target)
+
+
 def test_sharding(odd, none, docs):
     assert sharding.shards(none).count() == 0
     for df, limit in ((docs, 20_000), (odd, 70_000), (docs, 1 << 40)):
