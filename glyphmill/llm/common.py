@@ -59,17 +59,28 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(text, y) of at most ``most`` labelled training rows, drawn evenly by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int | None = None) -> DataFrame:
+    """(doc_id, text, y) of at most ``most`` labelled training ids, drawn evenly by a hash of the id.
 
-    ``most`` bounds the ids that are broadcast, so no text is shuffled for the join.
+    ``most`` bounds the ids that are broadcast, so that only labelled texts are shuffled; of the rows of one
+    id the greatest text is taken.  ``most_bytes`` ends the sample, in the order of the hash, where the texts
+    reach so many bytes (the first is always taken); the sizes that it needs, one for each id, come to the driver.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.first("y").alias("y"))
+    if most_bytes is None:
+        return rows
+    rows = persisted(rows.withColumn("__h", F.xxhash64("doc_id")))
+    sizes = rows.select("__h", F.octet_length("text").alias("n")).orderBy("__h", "n").toArrow()
+    reached = np.cumsum(np.asarray(sizes.column("n"), np.int64))
+    cut = max(1, int(np.searchsorted(reached, most_bytes, "right")))
+    if cut >= len(reached):
+        return rows.drop("__h")
+    return rows.where(F.col("__h") <= sizes.column("__h")[cut - 1].as_py()).drop("__h")
 
 
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +140,7 @@ class Words:
     def __init__(self, column: pa.Array):
         data, self.offsets = string_parts(column)
         self.n_docs, low = len(self.offsets) - 1, _LOWER_LUT[data]
+        self._low = low
         is_word = _WORD_LUT[low]
         before, after = np.zeros_like(is_word), np.zeros_like(is_word)
         before[1:], after[:-1] = is_word[:-1], is_word[1:]
@@ -148,6 +160,21 @@ class Words:
         with np.errstate(over="ignore"):
             return mix((self._sums[end] - self._sums[start]) * self._back[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def pieces(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, word) of the pieces of ``size`` letters that words are cut into; a word's last one may be shorter."""
+        letter = self._letters()
+        word = np.searchsorted(self.start, letter, "right") - 1
+        begins = (np.arange(len(letter)) - np.searchsorted(letter, self.start)[word]) % size == 0
+        at, word = letter[begins], word[begins]
+        end = self.end[word]
+        inner = word[1:] == word[:-1]
+        end[:-1][inner] = at[1:][inner]
+        return at, end, word
+
+    def _letters(self) -> np.ndarray:
+        """Where the letters of words begin: bytes of words that do not continue a UTF-8 sequence."""
+        return np.flatnonzero(_WORD_LUT[self._low] & ((self._low & 0xC0) != 0x80))
+
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(document, hash) of every distinct word n-gram, sorted by both; a text of fewer words is one n-gram."""
         word, doc = self.hashes(self.start, self.end), self.doc

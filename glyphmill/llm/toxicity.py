@@ -2,247 +2,258 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, byte_slices, held_out, labelled_sample, mix, persisted, small_batches
+from .common import Words, byte_slices, held_out, labelled_sample, persisted, small_batches
 
-#: Labelled rows that the index is fitted on at most.
-SAMPLE = 20_000
-#: Terms that vectors have at most: those that tell the labels apart best, with at least so many positive examples.
-TERMS, SUPPORT = 6_000, 4
+#: Labelled rows that the index is fitted on at most, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 8_000, 64 << 20
+#: Letters of a piece: a word is cut into pieces of so many, all of which are terms.
+PIECE = 4
 #: Neighbours that vote, and examples in a block of the index.
 NEIGHBOURS, BLOCK = 24, 64
-#: Bytes of a word's beginnings that are terms besides the whole word.
-STEMS = (4, 5, 6, 7, 8)
+#: Votes, at the examples' rate, that every score starts from.
+PRIOR = 0.5
 
 
-def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-    """(document, term) of every word and word beginning, as hashes."""
+def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """CSR (starts, term hashes, counts) of the distinct pieces of every text, and the number of texts."""
     w = Words(column)
-    docs, ids = [w.doc], [w.hashes(w.start, w.end)]
-    for n in STEMS:
-        long = w.end - w.start >= n
-        docs.append(w.doc[long])
-        ids.append(mix(w.hashes(w.start[long], w.start[long] + n) + np.uint64(n)))
-    return np.concatenate(docs), np.concatenate(ids), w.n_docs
-
-
-def distinct(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, term), sorted, with their counts."""
+    at, end, word = w.pieces(PIECE)
+    doc, term = w.doc[word], w.hashes(at, end)
     order = np.lexsort((term, doc))
     doc, term = doc[order], term[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
-    at = np.flatnonzero(new)
-    return doc[at], term[at], np.diff(np.append(at, len(doc)))
+    first = np.flatnonzero(new)
+    return np.searchsorted(doc[first], np.arange(w.n_docs + 1)), term[first], np.diff(np.append(first, len(doc))), w.n_docs
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... size[0] of them, then those of start[1], and so on."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(size.sum())
 
 
 @dataclass
 class Index:
-    """Examples as unit TF-IDF vectors over the chosen terms, postings in blocks with their largest weights."""
-
-    vocabulary: np.ndarray  # sorted term hashes
-    idf: np.ndarray
-    row_at: np.ndarray  # CSR of the examples that have terms
-    cols: np.ndarray
-    values: np.ndarray
-    y: np.ndarray
-    ids: np.ndarray
-    steps: np.ndarray  # calibration: votes ...
-    levels: np.ndarray  # ... and the scores that they mean
-    bare: float  # score of a text without any chosen term
-
-    def __post_init__(self):
-        n, v = len(self.y), len(self.vocabulary)
-        self.n_blocks = -(-n // BLOCK)
-        self.rows = np.repeat(np.arange(n), np.diff(self.row_at))
-        block = self.rows // BLOCK
-        # by term, then block: a term's largest weight in each block that it stands in
-        order = np.lexsort((block, self.cols))
-        key = self.cols[order] * max(1, self.n_blocks) + block[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        self.post_block = key[first] % max(1, self.n_blocks) if len(key) else first
-        self.post_max = np.maximum.reduceat(self.values[order], first) if len(first) else np.zeros(0)
-        self.post_at = np.searchsorted(key[first] // max(1, self.n_blocks) if len(key) else first, np.arange(v + 1))
-
-    def vectors(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """CSR of unit vectors of texts."""
-        doc, term, n_docs = terms(column)
+    """Examples as unit TF-IDF vectors: postings by term and block of examples, with each such list's largest weight."""
+
+    vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted term hashes
+    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    entry_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # by term: its entries, one for each block
+    entry_block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    entry_max: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    post_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # by entry: its postings
+    rows: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    y: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    ids: pa.Array = field(default_factory=lambda: pa.array([], pa.int64()))
+    votes: np.ndarray = field(default_factory=lambda: np.zeros(0))  # calibration: rising votes ...
+    levels: np.ndarray = field(default_factory=lambda: np.zeros(0))  # ... and the scores that they mean
+    base: float = 0.5  # rate of label 1
+    bare: float = 0.5  # score of a text without any known term
+
+    @property
+    def n_blocks(self) -> int:
+        return -(-len(self.y) // BLOCK)
+
+    def vectors(self, at: np.ndarray, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """CSR of unit vectors over the vocabulary; terms of no example, or of every one, weigh nothing."""
+        n_docs, doc = len(at) - 1, np.repeat(np.arange(len(at) - 1), np.diff(at))
         if not len(self.vocabulary):
             return np.zeros(n_docs + 1, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        at = np.minimum(np.searchsorted(self.vocabulary, term), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == term
-        doc, col, count = distinct(doc[known], at[known])
-        value = (1 + np.log(count)) * self.idf[col]
+        col = np.minimum(np.searchsorted(self.vocabulary, term), len(self.vocabulary) - 1)
+        known = (self.vocabulary[col] == term) & (self.idf[col] > 0)
+        doc, col, value = doc[known], col[known], count[known] * self.idf[col[known]]
         norm = np.sqrt(np.bincount(doc, value**2, n_docs))
         return np.searchsorted(doc, np.arange(n_docs + 1)), col, value / norm[doc]
 
-    def nearest(self, cols: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def fill(self, col: np.ndarray, row: np.ndarray, weight: np.ndarray) -> None:
+        """Lay the postings out by term, block and example."""
+        order = np.lexsort((row, col))
+        col, row, weight = col[order], row[order], weight[order]
+        key = col * max(1, self.n_blocks) + row // BLOCK
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.entry_block = (key[first] % max(1, self.n_blocks)).astype(np.int32)
+        self.entry_max = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+        self.entry_at = np.searchsorted(col[first], np.arange(len(self.vocabulary) + 1))
+        self.post_at = np.append(first, len(key))
+        self.rows, self.weights = row.astype(np.int32), weight
+
+    def nearest(self, cols: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k nearest that share a term, ties by example: exact.
 
-        Blocks are taken by falling upper bound until none can hold a better example.
+        A block's bound is the query's product with the largest weights of its lists.  The blocks of
+        the highest bounds are scored first; of the others only those whose bound reaches the k-th best cosine are.
+        ``without`` leaves one example out.
         """
-        bound = np.zeros(self.n_blocks)
-        for c, v in zip(cols, values):
-            a, b = self.post_at[c], self.post_at[c + 1]
-            bound[self.post_block[a:b]] += v * self.post_max[a:b]
-        dense = np.zeros(len(self.vocabulary))
-        dense[cols] = values
-        best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
+        size = self.entry_at[cols + 1] - self.entry_at[cols]
+        entry, value = ragged(self.entry_at[cols], size), np.repeat(values, size)
+        block = self.entry_block[entry]
+        bound = np.bincount(block, value * self.entry_max[entry], self.n_blocks)
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        at, step = 0, 4
-        while at < len(order):
-            if len(best_s) >= k and bound[order[at]] < best_s[k - 1] - 1e-9:
-                break
-            for b in order[at : at + step]:
-                lo, hi = self.row_at[b * BLOCK], self.row_at[min((b + 1) * BLOCK, len(self.y))]
-                s = np.bincount(self.rows[lo:hi] - b * BLOCK, dense[self.cols[lo:hi]] * self.values[lo:hi])
-                e = np.flatnonzero(s > 0)
-                best_e, best_s = np.append(best_e, e + b * BLOCK), np.append(best_s, s[e])
-            if skip >= 0:
-                best_e, best_s = best_e[best_e != skip], best_s[best_e != skip]
-            best_s = np.round(best_s, 12)
+        begin = max(1, self.n_blocks // 8)
+        best_e, best_s, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        for part in (order[:begin], order[begin:]):
+            wanted = np.zeros(self.n_blocks, bool)
+            wanted[part[bound[part] >= least - 1e-9]] = True
+            own = wanted[block]
+            e = entry[own]
+            n = self.post_at[e + 1] - self.post_at[e]
+            p = ragged(self.post_at[e], n)
+            cosine = np.round(np.bincount(self.rows[p], np.repeat(value[own], n) * self.weights[p], len(self.y)), 12)
+            if without >= 0:
+                cosine[without] = 0
+            found = np.flatnonzero(cosine > 0)
+            if len(found) > k:
+                cut = np.partition(cosine[found], -k)[-k]
+                found = found[cosine[found] >= cut]
+            best_e, best_s = np.append(best_e, found), np.append(best_s, cosine[found])
             top = np.lexsort((best_e, -best_s))[:k]
             best_e, best_s = best_e[top], best_s[top]
-            at, step = at + step, min(step * 2, 64)
+            least = best_s[-1] if len(best_s) == k else 0.0
         return best_e, best_s
 
     def vote(self, example: np.ndarray, cosine: np.ndarray) -> float:
-        """Share of positive neighbours, each weighing more the nearer it is, with a prior of one half neighbour at the bare rate."""
+        """Share of positive neighbours, each weighing more the nearer it is, with a prior at the examples' rate."""
         weight = 1 / (1.05 - cosine)
-        return float((weight @ self.y[example] + 0.5 * self.bare) / (weight.sum() + 0.5))
+        return float((weight @ self.y[example] + PRIOR * self.base) / (weight.sum() + PRIOR))
 
     def calibrated(self, vote: float) -> float:
-        return float(self.levels[max(0, int(np.searchsorted(self.steps, vote, "right")) - 1)]) if len(self.steps) else self.bare
+        return float(np.interp(vote, self.votes, self.levels)) if len(self.votes) else self.base
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rising steps through (x, y) by pooling adjacent violators; each level is drawn a little to one half."""
+    """(mean x, level) of the rising steps through (x, y) by pooling adjacent violators; each level is drawn a little to one half."""
     order = np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []
+    blocks: list[list[float]] = []  # sum of x, sum of y, number
     for a, b in zip(x[order], y[order]):
-        if blocks and blocks[-1][0] == a:
-            blocks[-1][1] += b
-            blocks[-1][2] += 1
-        else:
-            blocks.append([a, b, 1])
-        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
-            _, s, n = blocks.pop()
-            blocks[-1][1] += s
-            blocks[-1][2] += n
-    return np.array([b[0] for b in blocks]), np.array([(b[1] + 0.5) / (b[2] + 1) for b in blocks])
-
-
-def _counts(sample: DataFrame, chosen: np.ndarray | None, out: str) -> DataFrame:
-    """(term, n) over the rows' distinct terms, added up in each task first; ``chosen`` limits the terms."""
+        blocks.append([a, b, 1])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            last = blocks.pop()
+            blocks[-1] = [p + q for p, q in zip(blocks[-1], last)]
+    return np.array([b[0] / b[2] for b in blocks]), np.maximum.accumulate([(b[1] + 0.5) / (b[2] + 1) for b in blocks]) if blocks else np.zeros(0)
+
+
+def _similar_together(col: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int, v: int) -> np.ndarray:
+    """New places of the examples: by the nearest of some sqrt(n) leaders, so that blocks have low bounds for unlike texts."""
+    order = np.argsort(col, kind="stable")
+    col, row, weight = col[order], row[order], weight[order]
+    at, best, leader = np.searchsorted(col, np.arange(v + 1)), np.full(n, -1.0), np.zeros(n, np.int64)
+    for i, lead in enumerate(range(0, n, max(1, int(n**0.5)))):
+        own = row == lead
+        c, x = col[own], weight[own]
+        p = ragged(at[c], at[c + 1] - at[c])
+        s = np.bincount(row[p], np.repeat(x, at[c + 1] - at[c]) * weight[p], n)
+        leader[s > best] = i
+        best = np.maximum(best, s)
+    place = np.empty(n, np.int64)
+    place[np.argsort(leader, kind="stable")] = np.arange(n)
+    return place
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Index:
+    """Index the labelled examples outside the held-out part: at most ``most`` of them, and ``most_bytes`` of texts.
+
+    Every piece of an example's words is a term, weighed by its count and ln((n + 1) / (examples with it + 1)).  Pieces
+    are counted where the texts are; the driver lays out their postings, which the sample bounds.
+    Each example's vote by the others, found in tasks, calibrates the scores.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sample = persisted(labelled_sample(docs, labels, label, most, most_bytes))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch):
-                _, t, _ = distinct(*terms(part.column("text"))[:2])
-                held.append(t if chosen is None else t[np.isin(t, chosen)])
-        t, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        for i in range(0, len(t), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(t[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], ["term", "n"])
-
-    return sample.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias(out))
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> Index:
-    """Choose terms and index the labelled examples outside the held-out part, at most ``most`` of them.
-
-    Terms are counted where the texts are; only the chosen ones and the examples' short vectors come to the driver.
-    """
-    small_batches(docs.sparkSession)
-    sample = persisted(labelled_sample(docs, labels, label, most))
-    n_by = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_pos, n_neg = n_by.get(1, 0), n_by.get(0, 0)
-    base = (n_pos + 0.5) / (n_pos + n_neg + 1)
-    empty = Index(np.zeros(0, np.uint64), np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), base)
-    if not n_pos or not n_neg:
-        return empty
-    # of the terms of enough positive examples, those far likelier there; ranked by how sure and how strong that is
-    frequent = _counts(sample.where("y = 1"), None, "pos").where(F.col("pos") >= SUPPORT)
-    frequent = frequent.orderBy(F.desc("pos"), "term").limit(40 * TERMS).toPandas()
-    candidates = np.sort(frequent["term"].to_numpy(np.int64).view(np.uint64))
-    against = _counts(sample.where("y = 0"), candidates, "neg").toPandas()
-    joined = frequent.merge(against, "left", "term").fillna({"neg": 0})
-    p, n = (joined["pos"] + 0.5) / (n_pos + 1), (joined["neg"] + 0.5) / (n_neg + 1)
-    odds = np.log(p / n)
-    z = odds / np.sqrt(1 / (joined["pos"] + 0.5) + 1 / (joined["neg"] + 0.5))
-    joined["z"] = z
-    joined = joined[(odds > 1.0) & (z > 2.5)].sort_values(["z", "term"], ascending=[False, True]).head(TERMS)
-    if joined.empty:
-        return empty
-    vocabulary = joined["term"].to_numpy(np.int64).view(np.uint64)
-    idf = np.log((n_pos + n_neg + 1) / (joined["pos"].to_numpy() + joined["neg"].to_numpy() + 1)) + 1
-    order = np.argsort(vocabulary)
-    empty.vocabulary, empty.idf = vocabulary[order], idf[order]
-    shaped = empty
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                at, term, count, _ = terms(part.column("text"))
+                at = pa.array(at, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.ListArray.from_arrays(at, pa.array(term.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(count, pa.int32()))], ["doc_id", "y", "t", "n"])
+
+    got = sample.mapInArrow(counted, f"doc_id {kind}, y int, t array<long>, n array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    flat = lambda c: (x := got.column(c).combine_chunks(), np.concatenate([[0], np.cumsum(np.asarray(x.value_lengths(), np.int64))]))[::-1]
+    y, index = np.asarray(got.column("y"), float), Index()
+    n = len(y)
+    index.base = index.bare = float((y.sum() + 0.5) / (n + 1))
+    if not n or y.min() == y.max():
+        return index
+    at, listed = flat("t")
+    term, count = np.asarray(listed.flatten()).view(np.uint64), np.asarray(flat("n")[1].flatten(), np.int64)
+    index.vocabulary, df = np.unique(term, return_counts=True)
+    index.idf = np.log((n + 1) / (df + 1))
+    at, col, value = index.vectors(at, term, count)
+    size = np.diff(at)
+    row = np.repeat(np.arange(n), size)
+    place = _similar_together(col, row, value, n, len(index.vocabulary))
+    back = np.argsort(place)
+    index.y, index.ids = y[back], got.column("doc_id").combine_chunks().take(pa.array(back))
+    index.fill(col, place[row], value)
+    bare = size == 0
+    index.bare = float((y[bare].sum() + 2 * index.base) / (bare.sum() + 2))
+    shared, places = spark.sparkContext.broadcast(index), None
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nonlocal places
+        index = shared.value
+        places = places or {x: i for i, x in enumerate(index.ids.to_pylist())}
         for batch in batches:
             for part in byte_slices(batch):
-                at, col, value = shaped.vectors(part.column("text"))
-                yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id").cast(pa.int64()), part.column("y"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(col, pa.int64())),
-                    pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value, pa.float64()))], ["doc_id", "y", "c", "v"])
-
-    got = sample.mapInArrow(vectors, "doc_id long, y int, c array<long>, v array<double>").toArrow().sort_by("doc_id")
-    size = np.array([len(x) for x in got.column("c").to_pylist()], np.int64)
-    y, has = np.array(got.column("y").to_pylist(), float), size > 0
-    flat = lambda name, kind: np.array([v for row in got.column(name).to_pylist() for v in row], kind)
-    bare = float((y[~has].sum() + 0.5) / ((~has).sum() + 1))
-    index = Index(shaped.vocabulary, shaped.idf, np.concatenate([[0], np.cumsum(size[has])]), flat("c", np.int64), flat("v", float), y[has], np.array(got.column("doc_id").to_pylist(), np.int64)[has], np.zeros(0), np.zeros(0), bare)
-    # each example's vote by the others calibrates the scores
-    some = np.arange(len(index.y))
-    votes = []
-    for i in some:
-        a, b = index.row_at[i], index.row_at[i + 1]
-        votes.append(index.vote(*index.nearest(index.cols[a:b], index.values[a:b], skip=i)))
-    index.steps, index.levels = isotonic(np.array(votes), index.y[some])
+                at, col, value = index.vectors(*terms(part.column("text"))[:3])
+                own = [places[x] for x in part.column("doc_id").to_pylist()]
+                votes = [index.vote(*index.nearest(col[a:b], value[a:b], without=i)) if b > a else None for a, b, i in zip(at[:-1], at[1:], own)]
+                yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), part.column("y")], ["vote", "y"])
+
+    voted = sample.mapInArrow(left_out, "vote double, y int").where("vote IS NOT NULL").toArrow().sort_by([("vote", "ascending"), ("y", "ascending")])
+    index.votes, index.levels = isotonic(np.asarray(voted.column("vote"), float), np.asarray(voted.column("y"), float))
     return index
 
 
 def score_toxicity(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence_ids, evidence_cosines of every document.
 
-    Whole texts.  A text that shares no chosen term with an example (null and empty ones too) gets the
-    rate of such examples.  Ids pass through (null, repeated); other columns are ignored; an empty table gives an
+    Whole texts.  A text without a piece of any example (null and empty ones too) gets the rate of such examples,
+    drawn to that of all.  Ids pass through (null, repeated); other columns are ignored; an empty table gives an
     empty result; without labels of both kinds every score is the smoothed rate.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(index)  # at most SAMPLE short vectors
+    shared = spark.sparkContext.broadcast(index)  # the postings of at most SAMPLE_BYTES of texts
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, known = shared.value, {}
         for batch in batches:
             for part in byte_slices(batch):
-                at, col, value = index.vectors(part.column("text"))
-                scores, ids, cosines = [], [], []
+                at, col, value = index.vectors(*terms(part.column("text"))[:3])
+                scores, taken, cosines, ends = [], [], [], [0]
                 for a, b in zip(at[:-1], at[1:]):
-                    key = (col[a:b].tobytes(), value[a:b].tobytes())
+                    key = hashlib.blake2b(col[a:b].tobytes() + value[a:b].tobytes(), digest_size=16).digest()
                     if (hit := known.get(key)) is None:
                         e, s = index.nearest(col[a:b], value[a:b]) if b > a else (np.zeros(0, np.int64), np.zeros(0))
-                        hit = (index.calibrated(index.vote(e, s)) if len(e) else index.bare, index.ids[e[:5]].tolist(), s[:5].tolist())
-                        if len(known) < 50_000:
+                        hit = (index.calibrated(index.vote(e, s)) if len(e) else index.bare, e[:5], s[:5])
+                        if len(known) < 50_000:  # copies are searched once; a full memory changes no score
                             known[key] = hit
                     scores.append(hit[0])
-                    ids.append(hit[1])
+                    taken.append(hit[1])
                     cosines.append(hit[2])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], ["doc_id", "score", "evidence_ids", "evidence_cosines"])
+                    ends.append(ends[-1] + len(hit[1]))
+                ends = pa.array(ends, pa.int32())
+                ids = index.ids.take(pa.array(np.concatenate(taken), pa.int64())) if ends[-1].as_py() else pa.array([], index.ids.type)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id"), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(ends, ids),
+                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate(cosines), pa.float64()))], ["doc_id", "score", "evidence_ids", "evidence_cosines"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, evidence_ids array<long>, evidence_cosines array<double>")
+    id_kind = kind if len(index.y) else "bigint"
+    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, evidence_ids array<{id_kind}>, evidence_cosines array<double>")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence_ids", "evidence_cosines")
 
 

@@ -343,6 +343,70 @@ def test_quality_learns_an_interaction():
     assert ((model.score(x) > 0.5) == y).mean() > 0.95
 
 
+def brute_toxicity(train, texts, k=toxicity.NEIGHBOURS):
+    """(score, nearest ids) of every text by plain dictionaries; ``train`` has (id, text, label) by id."""
+    count = lambda t: Counter(w[i : i + 4] for w in words(t) for i in range(0, len(w), 4))
+    bags = [count(t) for _, t, _ in train]
+    df = Counter(x for b in bags for x in b)
+    idf = {x: math.log((len(train) + 1) / (n + 1)) for x, n in df.items()}
+    base = (sum(y for *_, y in train) + 0.5) / (len(train) + 1)
+
+    def unit(bag):
+        v = {x: n * idf[x] for x, n in bag.items() if idf.get(x)}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {x: w / norm for x, w in v.items()}
+
+    posting = defaultdict(list)
+    for i, b in enumerate(bags):
+        for x, w in unit(b).items():
+            posting[x].append((i, w))
+
+    def nearest(bag, without=None):
+        cosine = defaultdict(float)
+        for x, w in unit(bag).items():
+            for i, u in posting[x]:
+                cosine[i] += w * u
+        cosine.pop(without, None)
+        return sorted(((c, i) for i, c in cosine.items()), key=lambda z: -z[0])[:k]
+
+    def vote(near):
+        weight = [1 / (1.05 - c) for c, _ in near]
+        return (sum(w * train[i][2] for w, (_, i) in zip(weight, near)) + 0.5 * base) / (sum(weight) + 0.5)
+
+    pairs = sorted((vote(near), train[i][2]) for i, b in enumerate(bags) if (near := nearest(b, i)) or unit(b))
+    sums = np.concatenate([[0], np.cumsum([y for _, y in pairs])])
+    n = len(pairs)
+    mean = lambda a, b: (sums[b] - sums[a]) / (b - a)
+    level = [max(min(mean(a, b) for b in range(i + 1, n + 1)) for a in range(i + 1)) for i in range(n)]
+    steps = sorted({round(x, 9) for x in level})
+    own = [[i for i in range(n) if round(level[i], 9) == s] for s in steps]
+    xs = [sum(pairs[i][0] for i in o) / len(o) for o in own]
+    ys = np.maximum.accumulate([(sum(pairs[i][1] for i in o) + 0.5) / (len(o) + 1) for o in own])
+    bare = [y for (_, _, y), b in zip(train, bags) if not unit(b)]
+    empty = (sum(bare) + 2 * base) / (len(bare) + 2)
+    return [(np.interp(vote(near), xs, ys), near) if (near := nearest(count(t))) else (empty, []) for t in texts]
+
+
+def test_toxicity_by_brute_force(spark, odd, none):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(400).cache()
+    got = [(r.doc_id, r.text) for r in docs.collect()]
+    y = {i: int("worth" in (t or "").lower() or (i * 7919) % 11 == 0) for i, t in got}
+    labels = spark.createDataFrame([(i, v) for i, v in y.items()], "doc_id long, toxic int")
+    docs = docs.union(spark.createDataFrame([(-1, ""), (-2, None), (-3, "?!"), (-4, "qqqq zzzz")], "doc_id long, text string"))
+    train = [(i, t or "", y[i]) for i, t in sorted(got) if zlib.crc32(str(i).encode()) % 4 != 2]
+    index = toxicity.train(docs, labels)
+    rows = {r.doc_id: r for r in toxicity.score_toxicity(docs, index).collect()}
+    texts = [*got, (-1, ""), (-2, None), (-3, "?!"), (-4, "qqqq zzzz")]
+    for (i, t), (score, near) in zip(texts, brute_toxicity(train, [t for _, t in texts])):
+        r = rows[i]
+        assert r.score == pytest.approx(score, abs=1e-6), i
+        assert r.evidence_cosines == pytest.approx([c for c, _ in near[:5]], abs=1e-9)
+        if len(near) > 5 and min(a - b for (a, _), (b, _) in zip(near[:5], near[1:6])) > 1e-9:
+            assert r.evidence_ids == [train[j][0] for _, j in near[:5]]
+        assert r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+    assert rows[-1].score == rows[-2].score == rows[-3].score < 0.3 and rows[-1].evidence_ids == []
+
+
 def test_toxicity(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     index = toxicity.train(docs, labels)
@@ -352,16 +416,16 @@ def test_toxicity(spark, odd, none):
     assert sum(r.predicted for r in rows if r.toxic) / sum(r.toxic for r in rows) > 0.8
     assert toxicity.score_toxicity(odd, index).count() == odd.count() and toxicity.score_toxicity(none, index).count() == 0
     assert toxicity.score_toxicity(odd, toxicity.train(docs.limit(9), labels.limit(0))).where("score between 0 and 1").count() == odd.count()
-    # the pruned search finds exactly what a full scan finds
-    at, col, value = index.vectors(pa.array([r.text for r in docs.limit(400).collect()]))
-    for a, b in zip(at[:-1], at[1:]):
-        if b > a:
-            q = np.zeros(len(index.vocabulary))
-            q[col[a:b]] = value[a:b]
-            full = np.round(np.bincount(index.rows, q[index.cols] * index.values, len(index.y)), 12)
-            order = np.lexsort((np.arange(len(full)), -full))[: toxicity.NEIGHBOURS]
-            e, s = index.nearest(col[a:b], value[a:b])
-            assert np.allclose(s, full[order][: len(s)]) and list(e) == [i for i in order if full[i] > 0]
+
+
+def test_toxicity_of_text_ids_within_bytes(spark):
+    rows = [(f"d{i % 40}", f"{'awful' if i % 3 == 0 else 'fine'} words number{i % 7} stand here", i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, score int")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 3 == 0)) for i in range(40)] + [(None, 1), ("d1", None)], "doc_id string, toxic int")
+    out = toxicity.toxicity_report(docs, labels)
+    assert out.count() == 60 and all(set(r.evidence_ids) <= {x for x, *_ in rows} for r in out.collect())
+    small = toxicity.train(docs, labels, most_bytes=200)
+    assert 0 < len(small.y) < 10 and toxicity.score_toxicity(docs, small).where("score between 0 and 1").count() == 60
 
 
 def test_pipeline(spark):
