@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from .common import Words, byte_slices, held_out, labelled_sample, persisted, small_batches
 
 #: Labelled rows that the index is fitted on at most, and bytes of their texts.
-SAMPLE, SAMPLE_BYTES = 8_000, 64 << 20
+SAMPLE, SAMPLE_BYTES = 6_000, 64 << 20
 #: Letters of a piece: a word is cut into pieces of so many, all of which are terms.
 PIECE = 4
 #: Neighbours that vote, and examples in a block of the index.
 NEIGHBOURS, BLOCK = 24, 64
+#: Terms, the most frequent ones, that have a dense list of all examples, and queries that meet those lists at once.
+DENSE, BATCH = 1024, 128
+#: More than single precision can be wrong by in a product of unit vectors.
+SLACK = 1e-4
 #: Votes, at the examples' rate, that every score starts from.
 PRIOR = 0.5
 
@@ -44,15 +48,12 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Examples as unit TF-IDF vectors: postings by term and block of examples, with each such list's largest weight."""
+    """Examples as unit TF-IDF vectors, similar ones side by side."""
 
     vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted term hashes
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    entry_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # by term: its entries, one for each block
-    entry_block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    entry_max: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    post_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # by entry: its postings
-    rows: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # CSR of the examples
+    cols: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     y: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ids: pa.Array = field(default_factory=lambda: pa.array([], pa.int64()))
@@ -61,10 +62,6 @@ class Index:
     base: float = 0.5  # rate of label 1
     bare: float = 0.5  # score of a text without any known term
 
-    @property
-    def n_blocks(self) -> int:
-        return -(-len(self.y) // BLOCK)
-
     def vectors(self, at: np.ndarray, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """CSR of unit vectors over the vocabulary; terms of no example, or of every one, weigh nothing."""
         n_docs, doc = len(at) - 1, np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -76,52 +73,6 @@ class Index:
         norm = np.sqrt(np.bincount(doc, value**2, n_docs))
         return np.searchsorted(doc, np.arange(n_docs + 1)), col, value / norm[doc]
 
-    def fill(self, col: np.ndarray, row: np.ndarray, weight: np.ndarray) -> None:
-        """Lay the postings out by term, block and example."""
-        order = np.lexsort((row, col))
-        col, row, weight = col[order], row[order], weight[order]
-        key = col * max(1, self.n_blocks) + row // BLOCK
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        self.entry_block = (key[first] % max(1, self.n_blocks)).astype(np.int32)
-        self.entry_max = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
-        self.entry_at = np.searchsorted(col[first], np.arange(len(self.vocabulary) + 1))
-        self.post_at = np.append(first, len(key))
-        self.rows, self.weights = row.astype(np.int32), weight
-
-    def nearest(self, cols: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the k nearest that share a term, ties by example: exact.
-
-        A block's bound is the query's product with the largest weights of its lists.  The blocks of
-        the highest bounds are scored first; of the others only those whose bound reaches the k-th best cosine are.
-        ``without`` leaves one example out.
-        """
-        size = self.entry_at[cols + 1] - self.entry_at[cols]
-        entry, value = ragged(self.entry_at[cols], size), np.repeat(values, size)
-        block = self.entry_block[entry]
-        bound = np.bincount(block, value * self.entry_max[entry], self.n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        begin = max(1, self.n_blocks // 8)
-        best_e, best_s, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for part in (order[:begin], order[begin:]):
-            wanted = np.zeros(self.n_blocks, bool)
-            wanted[part[bound[part] >= least - 1e-9]] = True
-            own = wanted[block]
-            e = entry[own]
-            n = self.post_at[e + 1] - self.post_at[e]
-            p = ragged(self.post_at[e], n)
-            cosine = np.round(np.bincount(self.rows[p], np.repeat(value[own], n) * self.weights[p], len(self.y)), 12)
-            if without >= 0:
-                cosine[without] = 0
-            found = np.flatnonzero(cosine > 0)
-            if len(found) > k:
-                cut = np.partition(cosine[found], -k)[-k]
-                found = found[cosine[found] >= cut]
-            best_e, best_s = np.append(best_e, found), np.append(best_s, cosine[found])
-            top = np.lexsort((best_e, -best_s))[:k]
-            best_e, best_s = best_e[top], best_s[top]
-            least = best_s[-1] if len(best_s) == k else 0.0
-        return best_e, best_s
-
     def vote(self, example: np.ndarray, cosine: np.ndarray) -> float:
         """Share of positive neighbours, each weighing more the nearer it is, with a prior at the examples' rate."""
         weight = 1 / (1.05 - cosine)
@@ -131,6 +82,91 @@ class Index:
         return float(np.interp(vote, self.votes, self.levels)) if len(self.votes) else self.base
 
 
+class Search:
+    """Inverted lists of an index.  The most frequent terms have dense lists; each other term has its postings by blocks of
+    examples, and the largest weight in each block."""
+
+    def __init__(self, index: Index):
+        self.index, n, v = index, len(index.y), len(index.vocabulary)
+        self.n, self.n_blocks = n, -(-n // BLOCK)
+        row = np.repeat(np.arange(n), np.diff(index.at))
+        df = np.bincount(index.cols, minlength=v)
+        self.slot = np.full(v, -1)  # of a frequent term: its dense list
+        frequent = np.argsort(-df, kind="stable")[:DENSE]
+        self.slot[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), self.n_blocks * BLOCK), np.float32)
+        of = self.slot[index.cols]
+        self.dense[of[of >= 0], row[of >= 0]] = index.weights[of >= 0]
+        col, row, weight = index.cols[of < 0].astype(np.int64), row[of < 0], index.weights[of < 0]
+        order = np.lexsort((row, col))
+        col, self.rows, self.weights = col[order], row[order], weight[order]
+        key = col * max(1, self.n_blocks) + self.rows // BLOCK
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.entry_block = key[first] % max(1, self.n_blocks)
+        self.entry_max = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.entry_at = np.searchsorted(col[first], np.arange(v + 1))  # by term: its entries, one for each block
+        self.post_at = np.append(first, len(key))  # by entry: its postings
+        self.query = np.zeros(v)
+
+    def nearest(self, at: np.ndarray, cols: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of the queries (CSR) the (examples, cosines) of the k nearest that share a term, ties by example: exact.
+
+        The dense lists of a batch of queries are one product.  A block can hold no better cosine than its
+        best dense part and the query's product with the largest weights of its other lists; where that is less
+        than the k-th best dense part, the block's postings are not read.  What may be among the k nearest is scored
+        again from its vector.  ``without`` names an example for each query that is left out.
+        """
+        for begin in range(0, len(at) - 1, BATCH):
+            end = min(begin + BATCH, len(at) - 1)
+            slots = self.slot[cols[at[begin] : at[end]]]
+            of = np.repeat(np.arange(end - begin), np.diff(at[begin : end + 1]))
+            heads = np.zeros((end - begin, len(self.dense)), np.float32)
+            heads[of[slots >= 0], slots[slots >= 0]] = values[at[begin] : at[end]][slots >= 0]
+            parts = heads @ self.dense
+            for i in range(begin, end):
+                skip = without[i] if without else -1
+                yield self._one(parts[i - begin], cols[at[i] : at[i + 1]], values[at[i] : at[i + 1]], k, skip)
+
+    def _one(self, part: np.ndarray, cols: np.ndarray, values: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        if not len(cols):
+            return np.zeros(0, np.int64), np.zeros(0)
+        if skip >= 0:
+            part[skip] = 0
+        rare = self.slot[cols] < 0
+        size = self.entry_at[cols[rare] + 1] - self.entry_at[cols[rare]]
+        entry, value = ragged(self.entry_at[cols[rare]], size), np.repeat(values[rare], size)
+        block = self.entry_block[entry]
+        bound = part.reshape(-1, BLOCK).max(1) + np.bincount(block, value * self.entry_max[entry], self.n_blocks)
+        least = np.partition(part, -k)[-k] if len(part) > k else 0.0
+        own = (bound >= least - SLACK)[block]
+        entry, value = entry[own], value[own]
+        n = self.post_at[entry + 1] - self.post_at[entry]
+        p = ragged(self.post_at[entry], n)
+        score = part + np.bincount(self.rows[p], np.repeat(value, n) * self.weights[p], len(part))
+        if skip >= 0:
+            score[skip] = 0
+        least = max(np.partition(score, -k)[-k] - SLACK if len(score) > k else 0.0, 0.0)
+        found = np.flatnonzero((score >= least) & (score > 0))
+        index = self.index
+        self.query[cols] = values
+        size = index.at[found + 1] - index.at[found]
+        p = ragged(index.at[found], size)
+        cosine = np.round(np.bincount(np.repeat(np.arange(len(found)), size), self.query[index.cols[p]] * index.weights[p], len(found)), 12)
+        self.query[cols] = 0
+        top = np.lexsort((found, -cosine))[:k]
+        return found[top], cosine[top]
+
+
+_searches: list[Search] = []
+
+
+def searching(index: Index) -> Search:
+    """The lists of an index, made once in each worker."""
+    if not _searches or _searches[0].index is not index:
+        _searches[:] = [Search(index)]
+    return _searches[0]
+
+
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(mean x, level) of the rising steps through (x, y) by pooling adjacent violators; each level is drawn a little to one half."""
     order = np.argsort(x, kind="stable")
@@ -196,7 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     place = _similar_together(col, row, value, n, len(index.vocabulary))
     back = np.argsort(place)
     index.y, index.ids = y[back], got.column("doc_id").combine_chunks().take(pa.array(back))
-    index.fill(col, place[row], value)
+    p = ragged(at[back], size[back])
+    index.at, index.cols, index.weights = np.concatenate([[0], np.cumsum(size[back])]), col[p].astype(np.int32), value[p]
     bare = size == 0
     index.bare = float((y[bare].sum() + 2 * index.base) / (bare.sum() + 2))
     shared, places = spark.sparkContext.broadcast(index), None
@@ -209,7 +246,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             for part in byte_slices(batch):
                 at, col, value = index.vectors(*terms(part.column("text"))[:3])
                 own = [places[x] for x in part.column("doc_id").to_pylist()]
-                votes = [index.vote(*index.nearest(col[a:b], value[a:b], without=i)) if b > a else None for a, b, i in zip(at[:-1], at[1:], own)]
+                near = searching(index).nearest(at, col, value, without=own)
+                votes = [index.vote(*found) if b > a else None for a, b, found in zip(at[:-1], at[1:], near)]
                 yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), part.column("y")], ["vote", "y"])
 
     voted = sample.mapInArrow(left_out, "vote double, y int").where("vote IS NOT NULL").toArrow().sort_by([("vote", "ascending"), ("y", "ascending")])
@@ -235,13 +273,18 @@ def score_toxicity(docs: DataFrame, index: Index, threshold: float = 0.3) -> Dat
             for part in byte_slices(batch):
                 at, col, value = index.vectors(*terms(part.column("text"))[:3])
                 scores, taken, cosines, ends = [], [], [], [0]
-                for a, b in zip(at[:-1], at[1:]):
-                    key = hashlib.blake2b(col[a:b].tobytes() + value[a:b].tobytes(), digest_size=16).digest()
-                    if (hit := known.get(key)) is None:
-                        e, s = index.nearest(col[a:b], value[a:b]) if b > a else (np.zeros(0, np.int64), np.zeros(0))
-                        hit = (index.calibrated(index.vote(e, s)) if len(e) else index.bare, e[:5], s[:5])
-                        if len(known) < 50_000:  # copies are searched once; a full memory changes no score
-                            known[key] = hit
+                # copies are searched once; what is remembered changes no score
+                keys = [hashlib.blake2b(col[a:b].tobytes() + value[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1], at[1:])]
+                if len(known) > 50_000:
+                    known = {}
+                first: dict[bytes, int] = {}
+                new = np.array([i for i, key in enumerate(keys) if key not in known and first.setdefault(key, i) == i], np.int64)
+                size = np.diff(at)[new]
+                p = ragged(at[new], size)
+                for i, (e, s) in zip(new, searching(index).nearest(np.concatenate([[0], np.cumsum(size)]), col[p], value[p])):
+                    known[keys[i]] = (index.calibrated(index.vote(e, s)) if len(e) else index.bare, e[:5], s[:5])
+                for key in keys:
+                    hit = known[key]
                     scores.append(hit[0])
                     taken.append(hit[1])
                     cosines.append(hit[2])
