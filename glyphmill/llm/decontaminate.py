@@ -5,29 +5,24 @@ Only DataFrame functions: texts, windows and hits stay in the JVM.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BETWEEN, persisted, split_words, words
 
-#: Words in a window.
-SIZE = 10
-#: N-grams that are broadcast at once (about 30 bytes each as hashes); a larger benchmark is scanned in blocks of so many.
-MOST = 20_000
+#: Words in a window, and words of a text that are looked at together.
+SIZE, CHUNK = 10, 512
+#: Anchor hashes, n-grams, (n-gram, item) pairs and hit texts up to which a side is broadcast (up to about 100 bytes
+#: each); larger sides are joined by a shuffle, with the same result.
+MOST = 500_000
 
 
 def benchmark_ngrams(benchmark: DataFrame, size: int = SIZE, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(gram, n, items) of the distinct windows; items: sorted distinct ids as strings."""
+    """(gram, n, item): the distinct windows of every item; gram is the words joined by blanks, item the id as a string."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w"))
     n = F.least(F.size("w"), F.lit(size))
-    gram = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))
-    return (
-        rows.where(F.size("w") > 0).select("item", F.explode(gram).alias("w"))
-        .groupBy("w").agg(F.sort_array(F.collect_set("item")).alias("items"))
-        .select(F.array_join("w", " ").alias("gram"), F.size("w").alias("n"), "items")
-    )
+    gram = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+    return rows.where(F.size("w") > 0).select("item", n.alias("n"), F.explode(F.array_distinct(gram)).alias("gram")).distinct().select("gram", "n", "item")
 
 
 def _anchor(n: int) -> int:
@@ -35,89 +30,103 @@ def _anchor(n: int) -> int:
     return (n + 1) // 2
 
 
-def _probe(n: int, hashes: list[int]) -> Column:
-    """Windows (at, n) of the words ``w`` that hold an aligned anchor of which the hash is in the set."""
-    b, size = _anchor(n), F.size("w")
-    numbers = ",".join(f"{h}L" if h > -(1 << 63) else "-9223372036854775807L - 1L" for h in hashes)
-    # one text for the parser: thousands of literals would each be a call to the JVM
-    # single elements, not slices: Spark copies a whole stored array for each slice
-    anchor = ", ".join(f"w[j * {b} + {k}]" for k in range(b))
-    hit = F.expr(f"filter(if(size(w) >= {n}, sequence(0, cast(size(w) div {b} - 1 as int)), cast(array() as array<int>)), j -> xxhash64({anchor}) IN ({numbers}))")
-    starts = F.flatten(F.transform(hit, lambda j: F.sequence(F.greatest(F.lit(1), j * b + 1 - (n - b)), F.least(j * b + 1, size - n + 1))))
-    return F.transform(F.array_distinct(starts), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n")))
+def _side(df: DataFrame, most: int) -> DataFrame:
+    """A hash table for every executor if its rows are few, else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def digest(text: Column) -> Column:
+    """What texts are matched by: 128 bits of the whole text; null is empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
-    """Per row of ``docs``: row, doc_id, n_words, hits (sorted distinct positions from 1 of hit words), items.
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text_col: str = "text", most: int = MOST) -> DataFrame:
+    """(th, hits, items) of every different text with a hit: its digest, sorted positions from 1 of hit words, sorted item ids.
 
-    The n-grams of the benchmark are counted, and broadcast in blocks of ``most``: as a
-    set of hashes of their inner anchors, which the documents' words are probed with, and as a
-    table that the few windows around a probed anchor are joined with on the words themselves,
-    so a chance hit of hashes does not count.  Both fold case alike, A-Z only and free of context.
-    A block is one pass over the documents; benchmarks of up to ``most`` n-grams need one.
+    One pass over the documents, for a benchmark of any size.  The aligned anchors of a
+    text's words meet the hash set of all anchors of the benchmark's n-grams, which is broadcast
+    while it has up to ``most`` entries.  Only where one is found are the windows around it compared, on
+    the words themselves, so that a chance hit of hashes does not count; only those windows are ever shuffled, without
+    the text.  A long text is looked at in chunks, so that its hits do not carry it along.  Both sides fold A-Z alone, free of context.
     """
     grams = persisted(benchmark_ngrams(benchmark, size))
-    n_grams = grams.count()
-    blocks = max(1, -(-n_grams // most))
-    grams = grams.withColumn("block", F.pmod(F.xxhash64("gram", F.lit(5)), F.lit(blocks)))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), words(F.col(text_col)).alias("w"))
-    passes = []
-    for block in range(blocks):
-        own = grams.where(F.col("block") == block)
-        gram_words = F.split("gram", " ")
-        b = F.floor((F.col("n") + 1) / 2).cast("int")
-        anchors = own.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - b + 1), lambda i: F.xxhash64(F.slice(gram_words, i, b)))).alias("hash"))
-        found = {n: list(h) for n, h in anchors.groupBy("n").agg(F.collect_set("hash")).collect()}  # a few times ``most`` numbers
-        probes = [_probe(n, h) for n, h in sorted(found.items())]
-        none = F.array().cast("array<struct<at:int,n:int>>")
-        probed = base.select("row", "doc_id", "t", F.size("w").alias("n_words"), (F.concat(*probes) if probes else none).alias("probe"))
-        exact = probed.withColumn("x", F.when(F.size("probe") > 0, words(F.col("t"))))
-        window = F.transform("probe", lambda p: F.struct(p["at"].alias("at"), p["n"].alias("n"), F.array_join(F.slice("x", p["at"], p["n"]), " ").alias("gram")))
-        flat = exact.select("row", "doc_id", "n_words", F.explode_outer(window).alias("p")).select("row", "doc_id", "n_words", "p.*")
-        passes.append(flat.join(F.broadcast(own.select("gram", "items")), "gram", "left"))
-    hits = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("items").isNotNull(), F.sequence(F.col("at"), F.col("at") + F.col("n") - 1))))))
-    return (
-        reduce(DataFrame.unionByName, passes).groupBy("row")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), hits.alias("hits"),
-             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    )
-
-
-def flagged(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    distinct = grams.select("gram", "n").distinct()
+    sizes = sorted(r["n"] for r in distinct.select("n").distinct().collect())  # at most ``size`` numbers
+    if not sizes:
+        return docs.select(digest(F.col(text_col)).alias("th"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items")).where(F.lit(False))
+    gram_words, b = F.split("gram", " "), F.floor((F.col("n") + 1) / 2).cast("int")
+    hashed = F.transform(F.sequence(F.lit(0), F.col("n") - b), lambda i: F.xxhash64(F.col("n"), F.slice(gram_words, i + 1, b)))
+    anchors = persisted(distinct.select(F.explode(hashed).alias("hash")).distinct())
+    # chunks overlap by a window less one word, so that each window lies whole in the chunk in which it begins
+    base = docs.select(digest(F.col(text_col)).alias("th"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    chunk = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(w) - 1) div {CHUNK} as int)")), lambda c: F.struct((c * CHUNK).alias("o"), F.slice("w", c * CHUNK + 1, F.lit(CHUNK + size - 1)).alias("w")))
+    chunks = base.select("th", F.explode(chunk).alias("c")).select("th", "c.o", "c.w")
+    # a hash of single elements equals that of the slice that they make, and copies nothing
+    aligned = [
+        F.expr(f"transform(if(size(w) >= {n}, sequence(0, cast(size(w) div {_anchor(n)} - 1 as int)), cast(array() as array<int>)), "
+               f"j -> struct({n} as n, j as j, xxhash64({n}, {', '.join(f'w[j * {_anchor(n)} + {k}]' for k in range(_anchor(n)))}) as hash))")
+        for n in sizes
+    ]
+    probed = chunks.select("th", "o", "w", F.explode(F.concat(*aligned)).alias("p")).select("th", "o", "w", "p.n", "p.j", "p.hash").join(_side(anchors, most), "hash", "left_semi")
+    around = probed.withColumn("b", F.floor((F.col("n") + 1) / 2).cast("int"))
+    first, last = F.greatest(F.lit(1), F.col("j") * F.col("b") + 1 - (F.col("n") - F.col("b"))), F.least(F.col("j") * F.col("b") + 1, F.size("w") - F.col("n") + 1)
+    window = F.transform(F.sequence(first, last), lambda i: F.struct((F.col("o") + i).alias("at"), F.array_join(F.slice("w", i, F.col("n")), " ").alias("gram")))
+    windows = around.where(first <= last).select("th", "n", F.explode(window).alias("p")).select("th", "n", "p.*")
+    # n is part of the key: the words of two windows of different sizes cannot be the same
+    found = persisted(windows.join(_side(distinct, most), ["gram", "n"], "left_semi").distinct())
+    places = found.groupBy("th").agg(F.collect_set(F.struct("at", "n")).alias("at")).select(
+        "th", F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p["at"], p["at"] + p["n"] - 1))))).alias("hits"))
+    items = found.select("th", "gram").distinct().join(_side(grams.select("gram", "item"), most), "gram").select("th", "item").distinct()
+    return places.join(items.groupBy("th").agg(F.sort_array(F.collect_set("item")).alias("items")), "th")
+
+
+def flagged(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word inside any occurrence of a window of a benchmark item is hit.  Null and wordless
     texts have 0 words and are clean; ids pass through (null, repeated: each row counts alone);
-    items without words have no window; repeated items count by their distinct ids; other
+    items without words have no window; repeated items count by their distinct ids, null ones name none; other
     columns are ignored; empty tables give an empty result, or clean rows.
     """
-    return scan(docs, benchmark, **options).select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+    hit = persisted(scan(docs, benchmark, size, text_col, most).select("th", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("th"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
+    zero = F.lit(0).cast("long")
+    return rows.join(_side(hit, most), "th", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+
+
+def _packed(docs: DataFrame, text_col: str) -> DataFrame:
+    """(th, d): the digest of the text, and the whole row as one column, so that its names cannot clash."""
+    return docs.select(digest(F.col(text_col)).alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
 
 
-def without_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+def without_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = SIZE, most: int = MOST) -> DataFrame:
     """The documents, all columns, of which no window stands in the benchmark; the others go.
 
-    Rows are matched by a digest of the whole text, so null and repeated ids are safe.
+    Rows are matched by a digest of the whole text, so null and repeated ids are safe.  Texts
+    are shuffled only if over ``most`` different ones have a hit.
     """
-    key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    texts = docs.select(F.struct(F.col(id_col), key.alias("k")).alias("doc_id"), F.col(text_col).alias("text"))
-    bad = scan(texts, benchmark, size).where(F.size("hits") > 0).select("doc_id.k").distinct()
-    return docs.withColumn("__k", key).join(bad.withColumnRenamed("k", "__k"), "__k", "left_anti").drop("__k")
+    bad = persisted(scan(docs, benchmark, size, text_col, most).select("th"))
+    return _packed(docs, text_col).join(_side(bad, most), "th", "left_anti").select("d.*")
 
 
-def without_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = SIZE) -> DataFrame:
+def without_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = SIZE, most: int = MOST) -> DataFrame:
     """All documents and columns, hit words cut from their texts with the separators that follow them.
 
     A text of which nothing is hit is unchanged, byte for byte.  Where words were cut a line
     break stays, if another word follows.
     """
     raw, between = F.coalesce(F.col("d." + text_col), F.lit("")), BETWEEN.removesuffix("+")
-    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), F.col(text_col).alias("text"))
-    found = scan(nested, benchmark, size).select(F.col("doc_id").alias("d"), "hits")
-    w = split_words(raw)
-    gaps = F.split(raw, between.replace("[", "[^", 1) + "+")
-    kept = F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.when(F.array_contains("hits", i), F.when(~F.array_contains("hits", i + 1) & (i < F.size(w)), F.lit("\n")).otherwise(F.lit(""))).otherwise(F.concat(F.get(w, i - 1), F.coalesce(F.get(gaps, i), F.lit("")))))
-    cut = F.when(F.size("hits") == 0, F.col("d." + text_col)).otherwise(F.concat(F.coalesce(F.get(gaps, F.lit(0)), F.lit("")), F.array_join(kept, "")))
-    return found.select(*[(cut if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
+    hit = persisted(scan(docs, benchmark, size, text_col, most).select("th", "hits"))
+    found = _packed(docs, text_col).join(_side(hit, most // 10), "th", "left")
+    whole = F.col("hits").isNull()
+    parts = found.select(
+        "d", "hits", F.when(~whole, split_words(raw)).alias("w"), F.when(~whole, F.split(raw, between.replace("[", "[^", 1) + "+")).alias("gaps"),
+        F.when(~whole, F.array_except(F.sequence(F.lit(1), F.greatest(F.size(split_words(raw)), F.lit(1))), "hits")).alias("kept"))
+    # arrays that a lambda reads are columns of their own: an expression would be made again for each element
+    after_cut = lambda p, k: (p > 1) & ((k == 0) | (F.get("kept", k - 1) != p - 1))
+    rest = F.transform("kept", lambda p, k: F.concat(F.when(after_cut(p, k), "\n").otherwise(""), F.get("w", p - 1), F.coalesce(F.get("gaps", p), F.lit(""))))
+    joined = F.concat(F.coalesce(F.get("gaps", F.lit(0)), F.lit("")), F.array_join(rest, ""))
+    cut = F.when(F.col("hits").isNull(), F.col("d." + text_col)).when(F.size("w") + F.size("gaps") + F.size("kept") >= 0, joined)
+    return parts.select(*[(cut if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in docs.columns])

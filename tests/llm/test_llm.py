@@ -89,7 +89,7 @@ def brute_hits(text, items, size=10):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("most", [20_000, 3])
+@pytest.mark.parametrize("most", [20_000, 3, 0])
 def test_decontamination(spark, odd, none, most):
     items = [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa LAMBDA mu"), (10, "one two"), (2, None), (3, "!"), (1, "one two"), (4, "é é é"), (5, "rho sigma tau upsilon alpha beta gamma delta epsilon")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -117,9 +117,21 @@ def test_decontamination_folds_case_without_context(spark):
     items = [(i, " ".join(words(t))) for i, t in enumerate(texts)] + [(10 + i, t) for i, t in enumerate(texts)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     split = [(i, words(t)) for i, t in items]
-    for r in decontaminate.scan(df, bench).collect():
+    for r in decontaminate.flagged(df, bench).collect():
         n, hit, found = brute_hits(texts[r.doc_id].join(["before ", " behind"]), split)
-        assert found == sorted([str(r.doc_id), str(10 + r.doc_id)]) and (r.n_words, len(r.hits), r["items"]) == (n, hit, found)
+        assert found == sorted([str(r.doc_id), str(10 + r.doc_id)]) and (r.n_words, r.n_hit, r.n_items) == (n, hit, len(found))
+    same = spark.createDataFrame([(1, "ΑΣ.Β ΑΣ.Β ΑΣ.Β ΑΣ.Β ΑΣ.Β")], "doc_id long, text string")
+    assert decontaminate.flagged(same, same.withColumnRenamed("doc_id", "item_id")).first().n_hit == 10
+
+
+def test_decontamination_by_a_large_benchmark(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 400)) for _ in range(500)]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string")
+    rows = [(i, f"{texts[7 * i][:300]} and {' '.join(f'w{x}' for x in rng.integers(0, 5000, 50))}") for i in range(60)] + [(99, "nothing to see here at all, neither now nor then or so")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = (sorted(map(tuple, decontaminate.flagged(df, bench, most=m).collect())) for m in (100, 10**7))
+    assert few == many and sum(r[-1] for r in many) == 60
 
 
 def test_chat(spark):
