@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat, decontaminate, exact_dedup, jaccard, mixing, pii, quality, sharding, token_counts, toxicity
 
 
+#: Text bytes of a shard in the registered query.
+SHARD_LIMIT = 16 << 10
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,7 +54,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    """Shards of a small limit, so that prefixes are split at every scale; the pipeline takes the default."""
+    return sharding.shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_LIMIT).drop("text")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,10 +101,11 @@ ORACLE_SQL: dict[str, str] = {
                CAST(3 + sum(17 + length(role) + {_ESCAPES.format("role")} + length(text) + {_ESCAPES.format("text")}) AS BIGINT) AS formatted_chars
         FROM c GROUP BY conv_id""",
     "op7_sharding": f"""
-        WITH d AS (SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), chr(0))), 1, 15)) AS BIGINT) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents),
-        s AS (SELECT depth, h >> ({sharding.BITS} - depth) AS prefix, sum(bytes) AS bytes, count(*) AS n FROM d, (SELECT unnest(range(0, {sharding.BITS} + 1)) AS depth) GROUP BY ALL),
-        f AS (SELECT c.* FROM s c LEFT JOIN s p ON p.depth = c.depth - 1 AND p.prefix = c.prefix >> 1
-              WHERE (c.bytes <= {sharding.LIMIT} OR c.depth = {sharding.BITS}) AND (c.depth = 0 OR p.bytes > {sharding.LIMIT}))
+        WITH d AS (SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), chr(0)) || chr(31) || coalesce(md5(text), chr(0))), 1, 15)) AS BIGINT) AS h,
+                   CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents),
+        s AS (SELECT depth, h >> ({sharding.BITS} - depth) AS prefix, sum(bytes) AS bytes, count(*) AS n, sum(bytes) <= {SHARD_LIMIT} OR min(h) = max(h) AS fits
+              FROM d, (SELECT unnest(range(0, {sharding.BITS} + 1)) AS depth) GROUP BY ALL),
+        f AS (SELECT c.* FROM s c LEFT JOIN s p ON p.depth = c.depth - 1 AND p.prefix = c.prefix >> 1 WHERE c.fits AND (c.depth = 0 OR NOT p.fits))
         SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), CAST(depth AS INTEGER), '0') END AS shard, CAST(depth AS INTEGER) AS shard_depth, CAST(f.bytes AS BIGINT) AS shard_bytes, CAST(n AS BIGINT) AS shard_rows
         FROM d JOIN f ON f.prefix = d.h >> ({sharding.BITS} - f.depth)""",
     "op10_exact_dedup": """

@@ -60,7 +60,8 @@ def test_exact_dedup(spark, odd, none, docs):
         for i, t in rows:
             keep = max((x for x in groups[t] if x is not None), default=None)
             want[i, keep, len(groups[t]), keep is None or i == keep, hashlib.sha256(t.encode()).hexdigest()] += 1
-        assert Counter(map(tuple, exact_dedup.exact_dedup(df, salts=3).collect())) == want
+        for hot in (exact_dedup.HOT, 1):
+            assert Counter(map(tuple, exact_dedup.exact_dedup(df, salts=3, hot=hot).collect())) == want
 
 
 def test_token_counts(odd, none, docs):
@@ -199,21 +200,33 @@ def test_mixing_meets_low_entropies():
             mixing.bisect_exponent(bad, target_entropy=target)
 
 
-def test_sharding(odd, none, docs):
+def shard_bits(r):
+    digest = hashlib.md5(r.text.encode()).hexdigest() if r.text is not None else "\0"
+    key = ("\0" if r.doc_id is None else str(r.doc_id)) + "\x1f" + digest
+    return format(int(hashlib.md5(key.encode()).hexdigest()[:15], 16), "060b")
+
+
+@pytest.mark.parametrize("most", [sharding.MOST, 0])
+def test_sharding(spark, odd, none, docs, most):
     assert sharding.shards(none).count() == 0
-    for df, limit in ((docs, 20_000), (odd, 70_000), (docs, 1 << 40)):
-        out = sharding.shards(df, limit)
+    copies = spark.createDataFrame([(3, "same text " * 100, i) for i in range(50)] + [(None, "another " * 100, i) for i in range(30)] + [(5, f"text {i} " * 100, i) for i in range(50)], "doc_id long, text string, __leaf int").repartition(3)
+    for df, limit in ((docs, 20_000), (odd, 70_000), (docs, 1 << 40), (copies, 10_000), (copies, 100)):
+        out = sharding.shards(df, limit, most=most)
         rows = out.collect()
-        assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in df.collect()) and out.columns[: len(df.columns)] == df.columns
-        size = Counter()
+        assert Counter((r.doc_id, r.text, r[2]) for r in rows) == Counter((r.doc_id, r.text, r[2]) for r in df.collect()) and out.columns[: len(df.columns)] == df.columns
+        size, number, under = Counter(), Counter(), Counter()
         for r in rows:
-            size[r.shard] += len((r.text or "").encode())
-        bits = {i: format(int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16), "060b") for i in {r.doc_id for r in rows if r.doc_id is not None}}
+            n = len((r.text or "").encode())
+            size[r.shard] += n
+            number[r.shard] += 1
+            for d in range(61):
+                under[shard_bits(r)[:d]] += n
         for r in rows:
-            assert r.shard_bytes == size[r.shard] and (r.doc_id is None or bits[r.doc_id].startswith(r.shard))
-            assert size[r.shard] <= limit or r.shard_depth == sharding.BITS
-            if r.shard:  # its parent was over the limit
-                assert sum(v for s, v in size.items() if s.startswith(r.shard[:-1])) > limit
+            head = r.shard.split(".")[0]
+            assert (r.shard_bytes, r.shard_rows, r.shard_depth) == (size[r.shard], number[r.shard], len(head)) and shard_bits(r).startswith(head)
+            assert size[r.shard] <= limit or number[r.shard] == 1
+            if head:  # its parent was over the limit
+                assert under[head[:-1]] > limit
         assert {r.shard for r in rows} == {""} if limit > 1 << 30 else len(size) > 1
 
 
