@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import local_file, small_batches
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<|endoftext|>")
 BEGIN, END, OPEN, CLOSE = "<s>", "</s>", "[INST]", "[/INST]"
@@ -109,7 +109,7 @@ def format_chats(conversations: DataFrame, tokenizer_file: str, with_tokens: boo
     extra = ", formatted string, ids array<int>, loss_mask array<boolean>" * with_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer_file)
+        encode = Encoder(local_file(tokenizer_file))
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)

@@ -42,15 +42,27 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
+def local_file(name: str) -> str:
+    """A path as it is; a bare name is that of a public tokenizer's file, found on the machine that asks."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def persisted(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder of the session.
 
     The folder is the one named by ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) is a temporary folder taken.
+    unset and the session runs on one machine is a temporary folder taken.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="glyphmill-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glyphmill-"))
     return df.checkpoint(eager=True)
 
 

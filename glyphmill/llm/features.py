@@ -10,12 +10,13 @@ from .common import Words, string_parts
 #: Features of a text, in order.
 NAMES = (
     "log_bytes", "upper", "digit", "space", "line", "bar", "mark", "stop", "symbol", "high", "log_words", "word_bytes",
-    "distinct_words", "same_next", "top_line", "marked_words", "bar_words", "shout_words", "line_bytes", "twice_words",
+    "distinct_words", "same_next", "top_line", "sign_after", "sign_apart", "shout_words", "line_bytes", "twice_words",
 )
 _CLASS = np.zeros(256, np.uint8)
 for _i, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b"|", b"!?", b".,;:", b"#$%&*+-/<=>@\\^_`{}~[]()\"'"), 1):
     _CLASS[list(_chars)] = _i
 _CLASS[128:] = 9
+_BLANK, _BAR, _MARK, _STOP, _SIGN = 3, 5, 6, 7, 8
 
 
 def _per_doc(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -46,11 +47,12 @@ def features(column: pa.Array) -> np.ndarray:
     pd = w.doc[1:][near]
     po = np.lexsort((pair, pd))
     twice = (pd[po][1:] == pd[po][:-1]) & (pair[po][1:] == pair[po][:-1])
-    # what stands around a word: the byte after it, and its first two letters
-    pad = np.concatenate([data, np.zeros(2, np.uint8)])
+    # signs right behind a word (or behind its full stop or comma), and signs that stand apart after it
+    pad = np.concatenate([cls, np.zeros(2, np.uint8)])
     after, after2 = pad[w.end], pad[np.minimum(w.end + 1, len(pad) - 1)]
-    odd = np.isin(after, np.frombuffer(b"#$%&*", np.uint8)) | (np.isin(after, np.frombuffer(b".,", np.uint8)) & np.isin(after2, np.frombuffer(b"#$%&*!", np.uint8)))
-    bar = (after == 32) & (after2 == 124)
+    sign = lambda c: (c == _SIGN) | (c == _BAR)
+    odd = sign(after) | ((after == _STOP) & (sign(after2) | (after2 == _MARK)))
+    apart = (after == _BLANK) & sign(after2)
     up = np.concatenate([[0], np.cumsum(cls == 1)])
     low = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
     shout = (up[w.end] - up[w.start] >= 1) & (low[w.end] == low[w.start]) & (w.end - w.start >= 2)
@@ -65,6 +67,6 @@ def features(column: pa.Array) -> np.ndarray:
     return np.column_stack([
         np.log1p(n_bytes), *share, np.log1p(n_words), count(w.doc, (w.end - w.start).astype(float)) / per_word, distinct / per_word,
         count(w.doc[1:][again]) / per_word, count(line_doc[lo][1:][repeated]) / np.maximum(n_lines, 1), count(w.doc, odd.astype(float)) / per_word,
-        count(w.doc, bar.astype(float)) / per_word, count(w.doc, shout.astype(float)) / per_word, np.log1p(n_bytes / np.maximum(n_lines, 1)),
+        count(w.doc, apart.astype(float)) / per_word, count(w.doc, shout.astype(float)) / per_word, np.log1p(n_bytes / np.maximum(n_lines, 1)),
         count(pd[po][1:][twice]) / per_word,
     ])

@@ -16,6 +16,8 @@ from .components import components
 SHINGLE, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9995, 128
 #: Sets, and n-grams, that one side of a verification holds; larger buckets are verified block by block.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1_000_000
+#: Keys of rows up to which they are broadcast (about 60 bytes each); more are joined by a shuffle.
+MOST = 500_000
 
 
 def plan_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -116,6 +118,7 @@ def _linked(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGL
     n_bands, n_rows = bands or plan_bands(threshold, recall)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("th"), text.alias("text"))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00"))  # a null id is one of its own
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +147,14 @@ def _linked(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGL
         .withColumn("goal", F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct("band", "key", F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j"), "own")))
         .groupBy("digest").agg(F.flatten(F.collect_list("goal")).alias("goals"))
     )
-    wanted = goals.join(sets.select("digest", "rep", "copies", "keys"), "digest").select(
-        F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "digest", "copies", "keys", "goals")
-    texts = rows.join(wanted, (rows.th == wanted.rep_th) & rows.doc_id.eqNullSafe(wanted.rep_id)).select("digest", "copies", "keys", "goals", "text")
+    wanted = persisted(goals.join(sets.select("digest", "rep", "copies", "keys"), "digest").select(
+        F.col("rep.th").alias("th"), F.coalesce(F.col("rep.doc_id").cast("string"), F.lit("\x00")).alias("name"), "digest", "copies", "keys", "goals"))
+    keyed, asked = rows.select("th", named.alias("name"), "text"), wanted.select("th", "name")
+    if wanted.count() <= MOST:
+        keyed = keyed.join(F.broadcast(asked), ["th", "name"], "left_semi")
+    # repeated rows of a representative become one, first within each map task, before they meet its goals
+    once = keyed.groupBy("th", "name").agg(F.first("text").alias("text"))
+    texts = once.join(wanted, ["th", "name"]).select("digest", "copies", "keys", "goals", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,11 +264,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(found.select(F.col("digest").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "digest")
     sets = keys.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n_keys")).join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     classes = sets.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n_keys").alias("n_keys")).where("n_keys > 1 or stays.n > 1")
-    plan = persisted(sets.join(classes.select("root", "stays"), "root").select("digest", F.col("stays.doc_id").alias("__id"), F.col("stays.th").alias("__md5"), F.col("stays.n").alias("n")))
-    gone = keys.drop("n").join(plan.drop("n"), "digest").where(~(F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__md5")))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__md5"))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__md5"))
-    left = docs.withColumn("__th", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))).join(gone, same, "left_anti")
-    repeated = plan.where("n > 1").select("__id", "__md5").distinct()
-    if not repeated.isEmpty():  # only their texts are shuffled once more
-        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates([id_col, "__th"]))
-    return left.drop("__th")
+    plan = persisted(sets.join(classes.select("root", "stays"), "root").select("digest", F.col("stays.doc_id").alias("id"), F.col("stays.th").alias("th"), F.col("stays.n").alias("n")))
+    gone = keys.drop("n").join(plan.select("digest", F.col("id").alias("stay"), F.col("th").alias("stay_th")), "digest")
+    gone = persisted(gone.where(~(F.col("doc_id").eqNullSafe(F.col("stay")) & (F.col("th") == F.col("stay_th")))).select(F.col("doc_id").alias("id"), "th"))
+    side = lambda df: F.broadcast(df) if df.count() <= MOST else df
+    # the row is one column, so that its names cannot clash
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    out, away = rows.alias("a"), side(gone).alias("b")
+    left = out.join(away, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.th") == F.col("b.th")), "left_anti")
+    repeated = persisted(plan.where("n > 1").select("id", "th").distinct())
+    if not repeated.isEmpty():  # only their texts are shuffled
+        again = side(repeated).alias("b")
+        same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.th") == F.col("b.th"))
+        left = left.alias("a")
+        one = left.join(again, same, "left_semi").groupBy("id", "th").agg(F.first("d").alias("d"))
+        left = left.join(again, same, "left_anti").select("d").unionByName(one.select("d"))
+    return left.select("d.*")

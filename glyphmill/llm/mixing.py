@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,39 +12,36 @@ from .common import persisted, split_words
 
 #: Tokens (words) that a block of a source holds on average.
 BLOCK = 1 << 16
-#: Cells that a source is hashed into; blocks are sets of cells.
-CELLS = 1 << 20
-#: Blocks up to which the plan is broadcast (about 80 bytes each).
+#: Cells that a source is hashed into at least, and rows for each further cell; blocks are sets of cells.
+CELLS, CELL_ROWS = 1 << 20, 64
+#: Blocks, or sources, up to which their table is broadcast (about 80 bytes each).
 MOST = 200_000
-#: Sources that the bisection on the driver takes; more are refused.
-SOURCES = 1_000_000
 
 
-def temperature(tokens: dict, exponent: float) -> dict:
-    """Weights in proportion to the token shares to the power of the exponent."""
+def temperature(tokens: dict, exponent: float, many: dict | None = None) -> dict:
+    """Weights in proportion to the token shares to the power of the exponent; ``many`` sources may stand behind a key."""
     most = max(tokens.values(), default=0)  # as shares of the largest, which no exponent lets vanish
     raw = {s: (n / most) ** exponent if n else 0.0 for s, n in tokens.items()}
-    norm = sum(raw.values())
+    norm = math.fsum(x * (many[s] if many else 1) for s, x in raw.items())
     return {s: x / norm if norm else 0.0 for s, x in raw.items()}
 
 
-def entropy(weights: dict) -> float:
-    return -sum(w * math.log(w) for w in weights.values() if w)
+def entropy(weights: dict, many: dict | None = None) -> float:
+    return -math.fsum(w * math.log(w) * (many[s] if many else 1) for s, w in weights.items() if w)
 
 
 def repeats(tokens: dict, weights: dict, budget: float | None) -> dict:
     """How often each source is passed through; without a budget the least one that covers every source once."""
     ratio = {s: weights[s] / n for s, n in tokens.items() if n}
     if budget is None:
-        if not all(ratio.values()):
+        least = min(ratio.values(), default=1.0)
+        if not least:
             raise ValueError("a source's weight vanishes, so no budget takes it whole; give a budget")
-        budget = 1 / min(ratio.values()) if ratio else 0
-        # x * (1 / x) may round to less than 1, and a pass less than whole leaves blocks without tokens out
-        return {s: max(1.0, ratio[s] * budget) if n else 1.0 for s, n in tokens.items()}
+        return {s: ratio[s] / least if n else 1.0 for s, n in tokens.items()}  # x / x is 1 exactly
     return {s: ratio[s] * budget if n else 1.0 for s, n in tokens.items()}
 
 
-def bisect_exponent(tokens: dict, budget: float | None = None, max_repeats: float | None = None, target_entropy: float | None = None) -> float:
+def bisect_exponent(tokens: dict, budget: float | None = None, max_repeats: float | None = None, target_entropy: float | None = None, many: dict | None = None) -> float:
     """The exponent that meets the target: 0 is even weights, 1 the natural shares, more favours large sources.
 
     ``max_repeats``: the least exponent in [0, 1] by which no source is passed through more
@@ -59,11 +56,11 @@ def bisect_exponent(tokens: dict, budget: float | None = None, max_repeats: floa
         raise ValueError("give either max_repeats or target_entropy")
 
     def flat_enough(a: float) -> bool:  # true from some exponent on
-        w = temperature(tokens, a)
-        return max(repeats(tokens, w, budget).values()) <= max_repeats if max_repeats is not None else entropy(w) <= target_entropy
+        w = temperature(tokens, a, many)
+        return max(repeats(tokens, w, budget).values()) <= max_repeats if max_repeats is not None else entropy(w, many) <= target_entropy
 
     low, high = 0.0, 1.0
-    if target_entropy is not None and target_entropy <= math.log(list(tokens.values()).count(max(tokens.values()))) and len(set(tokens.values())) > 1:
+    if target_entropy is not None and target_entropy <= math.log(sum(many[s] if many else 1 for s, n in tokens.items() if n == max(tokens.values()))) and len(set(tokens.values())) > 1:
         raise ValueError("no exponent reaches so low an entropy")  # the largest sources alone, evenly, are the limit
     if flat_enough(low):
         return low
@@ -79,33 +76,48 @@ def bisect_exponent(tokens: dict, budget: float | None = None, max_repeats: floa
     return high
 
 
+def _side(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MOST else df
+
+
+def cell_count(docs: DataFrame) -> int:
+    """Cells of a source: a power of two that gives a cell some ``CELL_ROWS`` rows in the largest tables, so that blocks stay small."""
+    return max(CELLS, 1 << max(0, (docs.count() // CELL_ROWS).bit_length()))
+
+
+def _cell(cells: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(cells))
+
+
 def plan(docs: DataFrame, budget: float | None, max_repeats: float | None, target_entropy: float | None, block: int, seed: int):
-    """(plan of blocks, report by source).
+    """(plan of blocks, report by source, cells of a source).
 
     The plan is a row for each (source, block): its tokens, its rank-free place in the
     source's permutation, and the whole passes and the extra pass that the budget gives it.
     """
     spark = docs.sparkSession
     n = F.size(split_words(F.col("text"))).cast("long")
-    rows = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_source"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(CELLS)).alias("cell"), n.alias("n_tokens"))
+    cells_each = cell_count(docs)
+    rows = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_source"), _cell(cells_each, seed).alias("cell"), n.alias("n_tokens"))
     # fine cells of a source are summed in one pass over the texts; blocks are whole cells
     cells = persisted(rows.groupBy("mix_source", "cell").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("rows")))
-    sources = cells.groupBy("mix_source").agg(F.sum("n_tokens").alias("n"))
-    if sources.count() > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources; group them first")
-    tokens = {r["mix_source"]: r["n"] for r in sources.collect()}
-    exponent = bisect_exponent(tokens, budget, max_repeats, target_entropy)
-    weights = temperature(tokens, exponent)
+    sources = persisted(cells.groupBy("mix_source").agg(F.sum("n_tokens").alias("source_tokens")))
+    # sources with equal counts have equal weights: the driver gets each different count once
+    many = {r["source_tokens"]: r["m"] for r in sources.groupBy("source_tokens").agg(F.count(F.lit(1)).alias("m")).collect()}
+    tokens = {k: k for k in sorted(many)}
+    exponent = bisect_exponent(tokens, budget, max_repeats, target_entropy, many)
+    weights = temperature(tokens, exponent, many)
     times = repeats(tokens, weights, budget)
-    report = spark.createDataFrame(
-        [(s, int(n), float(weights[s]), float(times[s]), max(1, min(CELLS, -(-int(n) // block))), float(exponent)) for s, n in sorted(tokens.items())],
-        "mix_source string, source_tokens long, weight double, times double, n_blocks long, exponent double")
+    by_count = spark.createDataFrame(
+        [(k, float(weights[k]), float(times[k]), max(1, min(cells_each, -(-k // block))), float(exponent)) for k in tokens],
+        "source_tokens long, weight double, times double, n_blocks long, exponent double")
+    report = persisted(sources.join(_side(by_count), "source_tokens"))
     blocks = (
-        cells.join(F.broadcast(report.select("mix_source", "n_blocks")), "mix_source")
+        cells.join(_side(report.select("mix_source", "n_blocks")), "mix_source")
         .groupBy("mix_source", F.pmod("cell", "n_blocks").alias("block")).agg(F.sum("n_tokens").alias("n_tokens"))
         # the permutation orders blocks by this key; its first digits part a source's blocks into groups of bounded size
         .withColumn("key", F.pmod(F.xxhash64("mix_source", "block", F.lit(seed)), F.lit(1 << 40)))
-        .join(F.broadcast(report.select("mix_source", "times", "n_blocks", "source_tokens")), "mix_source")
+        .join(_side(report.select("mix_source", "times", "n_blocks", "source_tokens")), "mix_source")
         .withColumn("group", F.floor(F.col("key") / F.ceil(F.lit(float(1 << 40)) / F.ceil(F.col("n_blocks") / 4096.0))))
     )
     groups = blocks.groupBy("mix_source", "group").agg(F.sum("n_tokens").alias("g"))
@@ -119,35 +131,38 @@ def plan(docs: DataFrame, budget: float | None, max_repeats: float | None, targe
         .withColumn("passes", F.col("whole") + F.col("extra").cast("int"))
         .select("mix_source", "block", "offset", "passes", (F.col("offset") / F.greatest(F.col("source_tokens"), F.lit(1)) / F.col("times")).alias("at"), (F.lit(1.0) / F.col("times")).alias("pass_width"))
     )
-    return persisted(placed), report
+    return persisted(placed), report, cells_each
 
 
-def mixed(docs: DataFrame, budget: float | None = None, max_repeats: float | None = None, target_entropy: float | None = None, block: int = BLOCK, seed: int = 11) -> DataFrame:
-    """The documents as often as the mix takes them, all columns, with mix_epoch, mix_block and mix_at.
+def mixed(docs: DataFrame, budget: float | None = None, max_repeats: float | None = None, target_entropy: float | None = None, block: int = BLOCK, seed: int = 11, marks: bool = True) -> DataFrame:
+    """The documents as often as the mix takes them, all columns, with mix_epoch, mix_block and mix_at (unless ``marks`` is false).
 
-    Tokens are words.  Weights are the sources' token shares to a power, found by bisection to
+    Tokens are words here.  The result is not sorted.  Weights are the sources' token shares to a power, found by bisection to
     meet ``max_repeats`` (default 2) or ``target_entropy``.  ``budget`` is the number of tokens to realise; without
     one it is the least that takes every source whole at least once, so no document is lost.
-    A source is dealt into blocks by a hash of doc_id; each pass goes through its blocks in one
+    A source is dealt into blocks by a hash of doc_id and text; each pass goes through its blocks in one
     permutation, and the last, partial pass takes blocks while they begin within the budget, so a
     source overshoots by less than a block.  ``mix_at`` in [0, 1) is the block's place in its
     source's budget: ordering by it interleaves the sources by their weights.
 
     A null source counts as ''; null and repeated ids are rows like others; a source without
     tokens is passed through once; an empty table gives an empty result.  Blocks are about even,
-    whatever share of the rows a source has, so the join with the plan has no hot key.
+    whatever share of the rows a source has, so the join with the plan has no hot key; only rows
+    that agree in both always share a block.
     """
     if max_repeats is None and target_entropy is None:
         max_repeats = 2.0
-    docs = docs.drop("mix_epoch", "mix_block", "mix_at")
-    placed, report = plan(docs, budget, max_repeats, target_entropy, block, seed)
+    if marks:
+        docs = docs.drop("mix_epoch", "mix_block", "mix_at")
+    placed, report, cells_each = plan(docs, budget, max_repeats, target_entropy, block, seed)
     small = placed.count() <= MOST
-    sources = F.broadcast(report.select("mix_source", "n_blocks"))
+    sources = _side(report.select("mix_source", "n_blocks"))
     keyed = (
         # the row is one column from here on, so that its names cannot clash
-        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_source"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(CELLS)).alias("cell"))
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_source"), _cell(cells_each, seed).alias("cell"))
         .join(sources, "mix_source").withColumn("block", F.pmod("cell", "n_blocks"))
     )
     out = keyed.join(F.broadcast(placed) if small else placed, ["mix_source", "block"]).where("passes > 0")
-    return out.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("passes") - 1))).select(
+    out = out.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
+    return out.select("row.*") if not marks else out.select(
         "row.*", "mix_epoch", F.col("block").alias("mix_block"), (F.col("at") + F.col("mix_epoch") * F.col("pass_width")).alias("mix_at"))

@@ -153,6 +153,19 @@ def score_quality(docs: DataFrame, model: Additive, threshold: float = 0.7) -> D
     return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def kept(docs: DataFrame, model: Additive, threshold: float = 0.7) -> DataFrame:
+    """The rows, all columns untouched whatever their names, of which the score is at least the threshold."""
+    small_batches(docs.sparkSession)
+    text = docs.schema.fieldNames().index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch):
+                yield part.filter(pa.array(model.score(features(part.column(text))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     model = train(docs, labels)

@@ -17,13 +17,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer(name: str) -> str:
-    """Path of a public tokenizer's file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, rare sources up to twice."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -35,7 +28,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +43,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return chat.format_chats(conversations, tokenizer("byte_bpe_50k.json"), with_tokens=False)
+    return chat.format_chats(conversations, "byte_bpe_50k.json", with_tokens=False)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

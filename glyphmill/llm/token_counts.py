@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, small_batches
+from .common import byte_slices, local_file, small_batches
 
-#: Units that a worker remembers at most; a full memory is emptied, which changes no count.
-MEMO = 300_000
+#: Letters of units that a worker remembers, and of the longest unit among them; a full memory is emptied, which changes no count.
+MEMO, LONGEST = 16 << 20, 64
 _UNIT = re.compile(" +[^ ]*")
 _SPACE = "▁"
 
@@ -36,6 +36,7 @@ class PieceCounter:
         probe = [" a", "a  b", "a ", "Aﬁ　b"]
         self.by_unit = not crossing and ["".join(x).replace(_SPACE, " ") for x in self.model.encode(probe, out_type=str)] == [" " + x for x in probe]
         self.memo: dict[str, int] = {}
+        self.held = 0
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -51,14 +52,22 @@ class PieceCounter:
     def counts(self, texts: list[str]) -> list[int]:
         if not self.by_unit:
             return [len(x) for x in self.model.encode(texts, num_threads=1)]
-        if len(self.memo) > MEMO:
-            self.memo = {}
+        if self.held > MEMO:
+            self.memo, self.held = {}, 0
         memo, parts = self.memo, [self.units(x) for x in texts]
-        new = list({u for p in parts for u in p}.difference(memo))
+        new, long = list({u for p in parts for u in p}.difference(memo)), {}
         for i in range(0, len(new), 4096):
             block = new[i : i + 4096]
-            # an empty unit stands for one blank, which the encoder would not add to nothing
-            memo.update((u, len(e) if u else 1) for u, e in zip(block, self.model.encode(block, num_threads=1)))
+            for u, e in zip(block, self.model.encode(block, num_threads=1)):
+                # an empty unit stands for one blank, which the encoder would not add to nothing
+                n = len(e) if u else 1
+                if len(u) > LONGEST:
+                    long[u] = n
+                else:
+                    memo[u] = n
+                    self.held += len(u) + 64
+        if long:
+            return [sum(long[u] if len(u) > LONGEST else memo[u] for u in p) for p in parts]
         return [sum(map(memo.__getitem__, p)) for p in parts]
 
 
@@ -73,7 +82,7 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     small_batches(docs.sparkSession)
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(model_file)
+        counter = PieceCounter(local_file(model_file))
         for batch in batches:
             for part in byte_slices(batch):
                 n = counter.counts([x or "" for x in part.column("text").to_pylist()])
