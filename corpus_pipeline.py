@@ -15,11 +15,11 @@ from glyphmill.llm.common import persisted
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learnt from the labels of the table, does not reject."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_quality(docs, model).where("predicted = 1").select(docs.columns)
+    return quality.kept(docs, model)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (word 5-grams, Jaccard 0.8) the document with the least id."""
+    """Of each class of near copies (word 5-grams, Jaccard 0.8) one row of the document with the least id."""
     return jaccard.one_of_each(docs)
 
 
@@ -30,7 +30,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them: every source once, rare ones up to twice."""
-    return mixing.mixed(docs, max_repeats=2.0).select(docs.columns)
+    return mixing.mixed(docs, max_repeats=2.0, marks=False)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
