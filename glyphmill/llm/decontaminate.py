@@ -14,7 +14,7 @@ from .common import BETWEEN, persisted, split_words, words
 SIZE, CHUNK = 10, 512
 #: Anchor hashes, n-grams, (n-gram, item) pairs and hit texts up to which a side is broadcast (up to about 100 bytes
 #: each); larger sides are joined by a shuffle, with the same result.
-MOST = 500_000
+MOST = 200_000
 
 
 def benchmark_ngrams(benchmark: DataFrame, size: int = SIZE, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -62,13 +62,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text_col: str
     chunk = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(w) - 1) div {CHUNK} as int)")), lambda c: F.struct((c * CHUNK).alias("o"), F.slice("w", c * CHUNK + 1, F.lit(CHUNK + size - 1)).alias("w")))
     chunks = base.select("th", F.explode(chunk).alias("c")).select("th", "c.o", "c.w")
     # a hash of single elements equals that of the slice that they make, and copies nothing
-    aligned = [
-        F.expr(f"transform(if(size(w) >= {n}, sequence(0, cast(size(w) div {_anchor(n)} - 1 as int)), cast(array() as array<int>)), "
-               f"j -> struct({n} as n, j as j, xxhash64({n}, {', '.join(f'w[j * {_anchor(n)} + {k}]' for k in range(_anchor(n)))}) as hash))")
-        for n in sizes
-    ]
-    probed = chunks.select("th", "o", "w", F.explode(F.concat(*aligned)).alias("p")).select("th", "o", "w", "p.n", "p.j", "p.hash").join(_side(anchors, most), "hash", "left_semi")
-    around = probed.withColumn("b", F.floor((F.col("n") + 1) / 2).cast("int"))
+    hashes = ", ".join(
+        f"if(size(w) >= {n}, transform(sequence(0, cast(size(w) div {_anchor(n)} - 1 as int)), j -> xxhash64({n}, {', '.join(f'w[j * {_anchor(n)} + {k}]' for k in range(_anchor(n)))})), cast(array() as array<bigint>))"
+        for n in sizes)
+    probed = chunks.select("th", "o", "w", F.posexplode(F.expr(f"concat({hashes})")).alias("p", "hash")).join(_side(anchors, most), "hash", "left_semi")
+    # the place in the list tells the size of the window and the number of the anchor
+    n_of, j_of, before = F.lit(0), F.lit(0), F.lit(0)
+    for n in sizes:
+        n_of, j_of = F.when(F.col("p") >= before, n).otherwise(n_of), F.when(F.col("p") >= before, F.col("p") - before).otherwise(j_of)
+        before = before + F.when(F.size("w") >= n, F.floor(F.size("w") / _anchor(n)).cast("int")).otherwise(0)
+    around = probed.select("th", "o", "w", n_of.cast("int").alias("n"), j_of.cast("int").alias("j")).withColumn("b", F.floor((F.col("n") + 1) / 2).cast("int"))
     first, last = F.greatest(F.lit(1), F.col("j") * F.col("b") + 1 - (F.col("n") - F.col("b"))), F.least(F.col("j") * F.col("b") + 1, F.size("w") - F.col("n") + 1)
     window = F.transform(F.sequence(first, last), lambda i: F.struct((F.col("o") + i).alias("at"), F.array_join(F.slice("w", i, F.col("n")), " ").alias("gram")))
     windows = around.where(first <= last).select("th", "n", F.explode(window).alias("p")).select("th", "n", "p.*")

@@ -17,7 +17,7 @@ SHINGLE, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9995, 128
 #: Sets, and n-grams, that one side of a verification holds; larger buckets are verified block by block.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1_000_000
 #: Keys of rows up to which they are broadcast (about 60 bytes each); more are joined by a shuffle.
-MOST = 500_000
+MOST = 100_000
 
 
 def plan_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:

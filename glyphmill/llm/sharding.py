@@ -15,7 +15,7 @@ BITS = 60
 #: Text bytes that a shard holds at most.
 LIMIT = 64 << 20
 #: Shards up to which the directory is broadcast (about 100 bytes each).
-MOST = 200_000
+MOST = 100_000
 
 
 def row_hash(id_col: str, text_col: str) -> Column:
