@@ -58,14 +58,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text_col: str
     hashed = F.transform(F.sequence(F.lit(0), F.col("n") - b), lambda i: F.xxhash64(F.col("n"), F.slice(gram_words, i + 1, b)))
     anchors = persisted(distinct.select(F.explode(hashed).alias("hash")).distinct())
     # chunks overlap by a window less one word, so that each window lies whole in the chunk in which it begins
-    base = docs.select(digest(F.col(text_col)).alias("th"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    base = docs.select(digest(F.col(text_col)).alias("th"), words(F.col(text_col)).alias("w"))
+    # outer explodes: for others Spark makes the whole array twice, to drop rows where it is empty
     chunk = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(w) - 1) div {CHUNK} as int)")), lambda c: F.struct((c * CHUNK).alias("o"), F.slice("w", c * CHUNK + 1, F.lit(CHUNK + size - 1)).alias("w")))
-    chunks = base.select("th", F.explode(chunk).alias("c")).select("th", "c.o", "c.w")
+    chunks = base.select("th", F.explode_outer(chunk).alias("c")).select("th", "c.o", "c.w")
     # a hash of single elements equals that of the slice that they make, and copies nothing
     hashes = ", ".join(
         f"if(size(w) >= {n}, transform(sequence(0, cast(size(w) div {_anchor(n)} - 1 as int)), j -> xxhash64({n}, {', '.join(f'w[j * {_anchor(n)} + {k}]' for k in range(_anchor(n)))})), cast(array() as array<bigint>))"
         for n in sizes)
-    probed = chunks.select("th", "o", "w", F.posexplode(F.expr(f"concat({hashes})")).alias("p", "hash")).join(_side(anchors, most), "hash", "left_semi")
+    probed = chunks.select("th", "o", "w", F.posexplode_outer(F.expr(f"concat({hashes})")).alias("p", "hash")).join(_side(anchors, most), "hash", "left_semi")
     # the place in the list tells the size of the window and the number of the anchor
     n_of, j_of, before = F.lit(0), F.lit(0), F.lit(0)
     for n in sizes:
