@@ -1,12 +1,15 @@
 """Scans of line-based files.
 
-Files are read whole, one row each, and exploded with their line numbers, so that order
-survives; a dictionary is a few tens of MB, and many of them are read in parallel.
+Files are read in blocks, and lines are numbered by their block and their place in it, so that order
+survives and a large file is read by many tasks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,15 +20,35 @@ DICTIONARY = "yomi string, left_id smallint, right_id smallint, cost smallint, t
 NONE, NUMBER_SUFFIX, EMOTICON, EMOJI = 0, 1, 2, 3
 
 
+#: Lines that a place in a line may count up to in ``ord``, and files in a list.
+PLACES, FILES = 1 << 24, 1 << 40
+
+
 def lines(spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
-    """(path, line_no from 1, value) in file order; a trailing line break ends the last line."""
-    reader = spark.read.option("recursiveFileLookup", recursive)
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).text(path, wholetext=True)
-    body = F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), "\n$", "")
-    return (
-        files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.when(F.col("value") == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))).alias("i", "value"))
-        .select("path", (F.col("i") + 1).cast("bigint").alias("line_no"), "value")
-    )
+    """(path, line_no from 1, value) in file order; a trailing line break ends the last line.
+
+    Blocks of files are counted first (a row for each), which says where the numbers of a block begin.
+    """
+    reader = spark.read.option("recursiveFileLookup", recursive).option("lineSep", "\n")
+    read = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    rows = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"), F.regexp_replace("value", "\r$", "").alias("value"))
+    blocks = rows.groupBy("path", "__block").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("path").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.withColumn("__before", before).drop("__n")
+    # within a block ids follow the lines, as one task reads it from its start to its end
+    return rows.join(F.broadcast(starts), ["path", "__block"]).select("path", (F.col("__at") - F.col("__first") + F.col("__before") + 1).cast("bigint").alias("line_no"), "value")
+
+
+def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(file_no from 1, path) of the files under a directory, by their paths."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    found = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path")
+    return found.withColumn("file_no", F.row_number().over(W.orderBy("path"))).select("file_no", "path")  # a row for each file
+
+
+def _place(line_no: Column, place: Column) -> Column:
+    """One number for a place in a line; a line of too many places is an error."""
+    return F.when(place < PLACES, line_no * PLACES + place).otherwise(F.raise_error(F.lit("a line of too many parts")).cast("bigint"))
 
 
 def _skipped() -> Column:
@@ -57,9 +80,12 @@ def _short(c: Column) -> Column:
 def dictionary(spark: SparkSession, path: str | list[str], mode: str = "permissive", src: str | None = None) -> DataFrame:
     """Five-column dictionaries: reading, left id, right id, cost, surface.
 
-    ``permissive`` drops rows of fewer fields and raises for numbers out of range only on use
-    (they become null and are dropped); ``failfast`` raises for both.
+    ``permissive`` drops rows of fewer fields; ``failfast`` raises for them.  A number that is not a short is
+    an error in both.  Of a list of paths, ``ord`` follows the order of the list, then the lines.
     """
+    if not isinstance(path, str):
+        parts = [dictionary(spark, p, mode, src) for p in path]
+        return reduce(DataFrame.unionByName, [d.withColumn("ord", F.col("ord") + i * FILES) for i, d in enumerate(parts)])
     f = F.split("value", "\t", 5)
     df = lines(spark, path)
     if mode == "permissive":
@@ -69,10 +95,10 @@ def dictionary(spark: SparkSession, path: str | list[str], mode: str = "permissi
     else:
         raise ValueError(f"unknown mode: {mode}")
     numbers = [_short(F.get(f, F.lit(i))) for i in (1, 2, 3)]
-    if mode == "failfast":
-        numbers = [_checked(n.isNotNull(), n, "not a short number", False) for n in numbers]
-    out = df.select(F.get(f, F.lit(0)).alias("yomi"), *[n.alias(c) for n, c in zip(numbers, ("left_id", "right_id", "cost"))], F.get(f, F.lit(4)).alias("tango"), F.lit(src).cast("string").alias("src") if src else F.col("path").alias("src"), F.col("line_no").alias("ord"))
-    return out.dropna(subset=["left_id", "right_id", "cost"]) if mode == "permissive" else out
+    # the optimizer may move a check in front of the filter on short rows
+    whole = F.size(f) == 5
+    numbers = [F.when(~whole, None).otherwise(_checked(n.isNotNull(), n, "not a short number", False)) for n in numbers]
+    return df.select(F.get(f, F.lit(0)).alias("yomi"), *[n.alias(c) for n, c in zip(numbers, ("left_id", "right_id", "cost"))], F.get(f, F.lit(4)).alias("tango"), F.lit(src).cast("string").alias("src") if src else F.col("path").alias("src"), F.col("line_no").alias("ord"))
 
 
 def zipped_dictionary(spark: SparkSession, path: str, entry: str) -> DataFrame:
@@ -104,7 +130,7 @@ def _entry(df: DataFrame, yomi: Column, tango: Column, context: int, cost: int,
 
 
 def _readings(df: DataFrame, surface: Column, readings: Column) -> DataFrame:
-    return df.select("line_no", surface.alias("tango"), F.posexplode(readings).alias("p", "yomi")).withColumn("ord", F.col("line_no") * 100_000 + F.col("p"))
+    return df.select("line_no", surface.alias("tango"), F.posexplode(readings).alias("p", "yomi")).withColumn("ord", _place(F.col("line_no"), F.col("p")))
 
 
 # Fixed values of the scans below: part-of-speech ids and costs.
@@ -151,7 +177,7 @@ def single_kanji(spark: SparkSession, path: str, more: DataFrame | None = None)
     f = F.split("value", "[,\t]", -1)
     df = lines(spark, path).where(F.size(f) >= 2).select(F.get(f, F.lit(0)).alias("yomi"), F.get(f, F.lit(1)).alias("run"), "line_no")
     last = df.groupBy("yomi").agg(F.max_by("run", "line_no").alias("run"), F.min("line_no").alias("line_no"))
-    each = last.select("yomi", "line_no", F.posexplode(F.filter(F.split("run", ""), lambda c: c != "")).alias("p", "tango")).withColumn("ord", F.col("line_no") * 100_000 + F.col("p"))
+    each = last.select("yomi", "line_no", F.posexplode(F.filter(F.split("run", ""), lambda c: c != "")).alias("p", "tango")).withColumn("ord", _place(F.col("line_no"), F.col("p")))
     out = _entry(each, F.col("yomi"), F.col("tango"), KANJI_ID, 5000, "single_kanji")
     return out.unionByName(more) if more is not None else out
 
@@ -203,7 +229,7 @@ def zero_query_rules(spark: SparkSession, path: str, kind: int = NONE, custom: b
     f = F.split("value", "\t", -1)
     c = F.split(F.get(f, F.lit(1)), ",", -1)
     df = meaningful(lines(spark, path)).withColumn("value", _checked((F.size(f) == 2) & (F.get(f, F.lit(0)) != "") & ~F.exists(c, lambda x: x == ""), F.col("value"), "a trigger and candidates are needed"))
-    out = df.select(F.get(f, F.lit(0)).alias("key"), F.posexplode(c).alias("p", "value"), F.lit(kind).cast("smallint").alias("type"), "line_no").select("key", "value", "type", (F.col("line_no") * 100_000 + F.col("p")).alias("ord"))
+    out = df.select(F.get(f, F.lit(0)).alias("key"), F.posexplode(c).alias("p", "value"), F.lit(kind).cast("smallint").alias("type"), "line_no").select("key", "value", "type", _place(F.col("line_no"), F.col("p")).alias("ord"))
     if custom and not out.groupBy("key", "value").count().where("count > 1").isEmpty():
         raise ValueError(f"a custom trigger names a candidate twice: {path}")
     return out
@@ -240,7 +266,7 @@ def zero_query_emoticons(spark: SparkSession, path: str) -> DataFrame:
     f = F.split("value", "\t", -1)
     df = meaningful(lines(spark, path)).withColumn("value", _checked(F.size(f) == 3, F.col("value"), "three columns are needed"))
     out = df.select(F.get(f, F.lit(0)).alias("value"), F.posexplode(F.split(X.trim_blank(F.get(f, F.lit(2))), "[ 　]+", -1)).alias("p", "key"), "line_no").where("key <> ''")
-    return out.select("key", "value", F.lit(EMOTICON).cast("smallint").alias("type"), (F.col("line_no") * 100_000 + F.col("p")).alias("ord"))
+    return out.select("key", "value", F.lit(EMOTICON).cast("smallint").alias("type"), _place(F.col("line_no"), F.col("p")).alias("ord"))
 
 
 def zero_query_symbols(spark: SparkSession, path: str) -> DataFrame:
@@ -255,7 +281,7 @@ def zero_query_symbols(spark: SparkSession, path: str) -> DataFrame:
     df = df.where((F.length(g(1)) == 1) & g(1).between("☀", "❧"))
     keys = F.concat(F.split(X.trim_blank(g(2)), "[ 　]+", -1), F.array(F.coalesce(g(3), F.lit("")), F.coalesce(g(4), F.lit(""))))
     out = df.select(g(1).alias("value"), F.posexplode(keys).alias("p", "key"), "line_no").where("key <> ''")
-    return out.select("key", "value", F.lit(NONE).cast("smallint").alias("type"), (F.col("line_no") * 100_000 + F.col("p")).alias("ord"))
+    return out.select("key", "value", F.lit(NONE).cast("smallint").alias("type"), _place(F.col("line_no"), F.col("p")).alias("ord"))
 
 
 def generic_noun_id(defs: DataFrame) -> int:

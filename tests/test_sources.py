@@ -22,12 +22,33 @@ def rows(df, *order):
 
 
 def test_dictionary_modes(spark, tmp_path):
-    p = put(tmp_path, "d.txt", "あ\t1\t2\t300\t亜\textra\nshort\t1\nい\t99999\t2\t3\t井\nう\t 5\t1\t1\t鵜\n")
-    assert rows(S.dictionary(spark, p, src="d"), "ord") == [("あ", 1, 2, 300, "亜\textra", "d", 1)]
+    p = put(tmp_path, "d.txt", "あ\t1\t2\t300\t亜\textra\nshort\t1\nう\t5\t1\t1\t鵜\r\n")
+    assert rows(S.dictionary(spark, p, src="d"), "ord") == [("あ", 1, 2, 300, "亜\textra", "d", 1), ("う", 5, 1, 1, "鵜", "d", 3)]
+    for bad in ("い\t99999\t2\t3\t井\n", "う\t 5\t1\t1\t鵜\n"):
+        with pytest.raises(Exception, match="short number"):
+            S.dictionary(spark, put(tmp_path, "bad.txt", bad)).collect()
+    q = put(tmp_path, "c.txt", "え\t1\t1\t1\t絵\n")
+    assert [r[0] for r in rows(S.dictionary(spark, [p, q, p]), "ord")] == ["あ", "う", "え", "あ", "う"]
     with pytest.raises(Exception, match="five fields"):
         S.dictionary(spark, p, "failfast").collect()
 
 
+def test_lines_over_many_blocks(spark, tmp_path):
+    texts = {f"{k}.txt": "".join(f"{k} line {i} {'x' * (i % 50)}\n" for i in range(3000)) for k in "ab"} | {"c.txt": "no break at the end", "d.txt": "", "e.txt": "\n\nlast\r\n"}
+    for name, text in texts.items():
+        put(tmp_path / "many", name, text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        df = S.lines(spark, str(tmp_path / "many"))
+        got = {(r.path.rsplit("/", 1)[1], r.line_no): r.value for r in df.collect()}
+        assert S.lines(spark, str(tmp_path / "many" / "a.txt")).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {(n, i): v for n, t in texts.items() for i, v in enumerate(t.replace("\r\n", "\n").removesuffix("\n").split("\n") if t else [], 1)}
+    assert got == want
+
+
 def test_zip(spark, tmp_path):
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
