@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -119,11 +120,6 @@ def split_keeping_empty(c: Column, delimiter: str) -> Column:
     return F.split(c, f"\\Q{delimiter}\\E", -1)
 
 
-def saturated(c: Column) -> Column:
-    """A long clamped to the range of int."""
-    return F.greatest(F.lit(INT_MIN), F.least(F.lit(INT_MAX), c.cast("long"))).cast("int")
-
-
 def common_prefix(a: Column, b: Column) -> Column:
     """Bytes that two binary columns share from the start; 0 if either is null."""
     ha, hb = F.hex(a), F.hex(b)
@@ -158,19 +154,24 @@ def canonical(features: Column) -> Column:
 
 @F.pandas_udf(T.LongType())
 def hash64(s: pd.Series) -> pd.Series:
-    """FNV-1a over the bytes with a 64-bit finaliser, as a signed long (binary column)."""
-    mask = (1 << 64) - 1
-
-    def one(data) -> int | None:
-        if data is None:
-            return None
-        # Offset, prime and the two mixing factors.
-        h = -3750763034362895579 & mask
-        for b in bytes(data):
-            h = (h ^ b) * 1099511628211 & mask
-        for m in (-49064778989728563 & mask, -4265267296055464877 & mask):
-            h = (h ^ h >> 33) * m & mask
-        h ^= h >> 33
-        return h - (1 << 64) if h >> 63 else h
-
-    return s.map(one)
+    """FNV-1a over the bytes with a 64-bit finaliser, as a signed long (binary column); all rows of a batch at once, byte by byte."""
+    # Offset, prime and the two mixing factors.
+    offset, prime, mixes = -3750763034362895579, 1099511628211, (-49064778989728563, -4265267296055464877)
+    some = s.notna().to_numpy()
+    parts = [bytes(x) for x in s[some]]
+    size = np.array([len(x) for x in parts], np.int64)
+    order = np.argsort(-size, kind="stable")  # longest first, so that the rows that have a byte at a place stand in front
+    data, at = np.frombuffer(b"".join(parts[i] for i in order), np.uint8), np.cumsum(size[order]) - size[order]
+    h = np.full(len(parts), offset, np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        for place in range(int(size.max()) if len(size) else 0):
+            n = int(np.searchsorted(-size[order], -place, "left"))  # rows longer than the place
+            h[:n] = (h[:n] ^ data[at[:n] + place]) * np.uint64(prime)
+        for m in mixes:
+            h = (h ^ h >> np.uint64(33)) * np.array(m, np.int64).view(np.uint64)
+        h ^= h >> np.uint64(33)
+    values = np.empty(len(parts), np.int64)
+    values[order] = h.view(np.int64)
+    out = pd.Series([None] * len(s), dtype="Int64", index=s.index)
+    out[some] = values
+    return out

@@ -5,18 +5,27 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set if need be; on a cluster ``spark.checkpoint.dir`` has to name it."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glyphmill-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder of ``spark.checkpoint.dir``; one of this machine is taken only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="glyphmill-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -78,13 +87,21 @@ def string_pool(df: DataFrame, *columns: str) -> DataFrame:
     return ranked(all_values.where("value IS NOT NULL").distinct(), "value", "id")
 
 
-def ranked(distinct: DataFrame, order: str | list[Column | str], name: str, parts: int = 64) -> DataFrame:
+#: Rows that a range of a numbering holds, about.
+RANGE = 100_000
+
+
+def ranked(distinct: DataFrame, order: str | list[Column | str], name: str, parts: int | None = None) -> DataFrame:
     """Dense ranks from 0 over rows of which the order is distinct: ranges are counted, then numbered one by one.
 
     No window runs over all rows: a window within each range, one over the ranges' counts.  The
-    rows are kept in their ranges by a checkpoint, as both the counts and the numbers need the same ones.
+    rows are kept in their ranges by a checkpoint, as both the counts and the numbers need the same ones.  So
+    this runs jobs when it is called: a count, unless ``parts`` says how many ranges to make, and the checkpoint.
     """
     by = [order] if isinstance(order, str) else order
+    if parts is None:
+        distinct = checkpointed(distinct)
+        parts = -(-distinct.count() // RANGE) or 1
     ranged = checkpointed(distinct.repartitionByRange(parts, *by).withColumn("__p", F.spark_partition_id()))
     inner = ranged.withColumn("__n", F.row_number().over(W.partitionBy("__p").orderBy(*by)))
     counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))  # a row for each range
@@ -92,6 +109,37 @@ def ranked(distinct: DataFrame, order: str | list[Column | str], name: str, part
     return inner.join(F.broadcast(before), "__p").withColumn(name, F.col("__n") + F.col("__b") - 1).drop("__p", "__n", "__b")
 
 
+def token_table(rows: DataFrame, order: list[str]) -> DataFrame:
+    """(key_id, pair_id, cost, surface_kind, surface, ...order): every row by the ids of its reading and context pair.
+
+    Readings are numbered by length, then letters; pairs by ``first_seen_ids`` over the rows in the order of their
+    readings, then ``order``.  Surfaces that the reading gives again (kana) are left out: null.
+    """
+    kind = X.surface_kind(F.col("yomi"), F.col("tango"))
+    keys = ranked(rows.select("yomi").distinct(), [X.utf16_length(F.col("yomi")), X.utf16_order(F.col("yomi"))], "key_id")
+    keyed = rows.join(keys, "yomi")
+    pairs = first_seen_ids(keyed, ["left_id", "right_id"], F.struct("key_id", *order), "pair_id")
+    out = encoded(keyed, pairs, ["left_id", "right_id"], "pair_id").withColumn("surface_kind", kind)
+    return out.select("key_id", "pair_id", "cost", "surface_kind", F.when(F.col("surface_kind") == "text", F.col("tango")).alias("surface"), *order)
+
+
+def lookup(words: DataFrame, column: str, keys: DataFrame, key: str = "yomi", most: int = 64) -> DataFrame:
+    """(word, id, begins) of the different words: the id of the key that equals one, null if none does, and whether a key of up to ``most`` letters begins with it.
+
+    Both are equi joins, the second one on the beginnings of the keys; a word longer than ``most`` begins no key.
+    """
+    asked = words.select(F.col(column).alias("word")).where("word IS NOT NULL").distinct()
+    ids = ranked(keys.select(F.col(key).alias("word")).where("word IS NOT NULL").distinct(), "word", "id")
+    heads = ids.where(F.length("word") <= most).select(F.explode(F.transform(F.sequence(F.lit(0), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("word")).distinct()
+    return asked.join(ids, "word", "left").join(heads.withColumn("begins", F.lit(True)), "word", "left").withColumn("begins", F.coalesce("begins", F.lit(False)))
+
+
+def restored(ids: DataFrame, column: str, keys: DataFrame, key: str = "yomi") -> DataFrame:
+    """(id, word) of the different ids: the key that has the id in ``lookup``, null if none has."""
+    known = ranked(keys.select(F.col(key).alias("word")).where("word IS NOT NULL").distinct(), "word", "id")
+    return ids.select(F.col(column).alias("id")).distinct().join(known, "id", "left").select("id", "word")
+
+
 def front_coded(df: DataFrame, column: str, block: int = 16) -> DataFrame:
     """(id, value, block, shared, rest): each value but a block's first without the bytes it shares with the one before."""
     ids = ranked(df.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct(), "value", "id")

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .dictionary import checkpointed
 
 NODE = "struct<key:string,value:string,lid:int,rid:int,wcost:int,cost:int,start:int,end:int>"
 
@@ -47,18 +48,32 @@ def adjacency(edges: DataFrame, connection: DataFrame) -> DataFrame:
     return _with_cost(a.join(b, ["input", "m"]), connection)
 
 
+#: Cells of a connection table up to which it is broadcast (about 30 bytes each).
+MOST = 500_000
+
+
 def _with_cost(pairs: DataFrame, connection: DataFrame) -> DataFrame:
+    """Pairs with the cost of their ids; ids are skewed, so the ids in use are joined once, and brought back by a broadcast if they are few."""
     lack = F.raise_error(F.concat(F.lit("no connection cost: "), F.col("left").cast("string"), F.lit(","), F.col("right").cast("string"))).cast("int")
-    return pairs.join(connection.select("left", "right", F.col("cost").cast("int").alias("cost")), ["left", "right"], "left").withColumn("cost", F.coalesce("cost", lack))
+    cells = connection.select("left", "right", F.col("cost").cast("int").alias("cost"))
+    if cells.count() > MOST:
+        cells = checkpointed(cells.join(pairs.select("left", "right").distinct(), ["left", "right"], "left_semi"))
+    side = F.broadcast(cells) if cells.count() <= MOST else cells
+    return pairs.join(side, ["left", "right"], "left").withColumn("cost", F.coalesce("cost", lack))
 
 
 def _grouped(edges: DataFrame, connection: DataFrame) -> DataFrame:
-    """A row for each input: its edges by start and order, and the connection costs that it can need."""
-    ends = edges.select("input", F.col("e").alias("m"), F.col("r").alias("left")).union(edges.select("input", F.lit(0), F.lit(0)).distinct()).distinct()
-    begins = edges.select("input", F.col("s").alias("m"), F.col("l").alias("right")).union(edges.select("input", F.length("input"), F.lit(0)).distinct()).distinct()
+    """A row for each input: its edges by start and order, and the connection costs that it can need.
+
+    The lattice is made once: what follows reads its checkpoint.
+    """
+    word = F.struct("s", "e", "ord", "key", "tango", "l", "r", "w")
+    words = checkpointed(edges.groupBy("input").agg(F.array_sort(F.collect_list(word)).alias("words")))
+    begin, end = F.array(F.struct(F.lit(0).alias("m"), F.lit(0).alias("left"))), F.array(F.struct(F.length("input").alias("m"), F.lit(0).alias("right")))
+    ends = words.select("input", F.explode(F.array_union(begin, F.transform("words", lambda x: F.struct(x["e"].alias("m"), x["r"].alias("left"))))).alias("p")).select("input", "p.*")
+    begins = words.select("input", F.explode(F.array_union(end, F.transform("words", lambda x: F.struct(x["s"].alias("m"), x["l"].alias("right"))))).alias("p")).select("input", "p.*")
     pairs = _with_cost(ends.join(begins, ["input", "m"]).select("input", "left", "right").distinct(), connection)
     costs = pairs.groupBy("input").agg(F.collect_list(F.struct("left", "right", "cost")).alias("costs"))
-    words = edges.groupBy("input").agg(F.array_sort(F.collect_list(F.struct("s", "e", "ord", "key", "tango", "l", "r", "w"))).alias("words"))
     return words.join(costs, "input")
 
 
@@ -179,7 +194,10 @@ def reranked(ranked: DataFrame, matched: DataFrame, n: int) -> DataFrame:
 
 
 def convert(inputs: DataFrame, dictionary: DataFrame, connection: DataFrame, n: int = 1, rules: DataFrame | None = None, pos: DataFrame | None = None, on: str = "input", kana_surface: str = "text") -> DataFrame:
-    """Best (n = 1) or N-best conversions of a batch of inputs, reranked by n-gram rules if there are any."""
+    """Best (n = 1) or N-best conversions of the different inputs of a batch, reranked by n-gram rules if there are any.
+
+    Repeated inputs have one answer, and one that no words cover whole has none; join back on the input for a row each.
+    """
     from . import ngram
 
     edges = prefix_edges(inputs, dictionary, on, kana_surface)

@@ -118,7 +118,7 @@ def ngram_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     prev AS (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, event_type AS b FROM events),
     n AS (SELECT a, b, count(*) AS n FROM prev WHERE a IS NOT NULL GROUP BY ALL)
     SELECT x.id AS "left", y.id AS "right", coalesce(n, 0) AS n FROM ids x CROSS JOIN ids y LEFT JOIN n ON n.a = x.name AND n.b = y.name""")
-def connection_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transition counts between event types as a dense grid."""
     from pyspark.sql import Window as W
 
@@ -156,15 +156,6 @@ def ngram_may_begin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.may_begin(events, _rules(spark, _EVENT_RULES), ["user_id"], "ts", "word", "pos")
 
 
-@query("""SELECT r_name || '+' || n_name || '+' || w AS rule, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey CROSS JOIN (SELECT unnest(['a', 'b', 'b']) AS w)
-    GROUP BY ALL HAVING count(*) > 1""")
-def ngram_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alternatives of each region multiplied out, and the rules that come out twice."""
-    slots = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.collect_list("n_name").alias("names"))
-    out = slots.select("r_name", F.explode("names").alias("n_name")).select("r_name", "n_name", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("b"))).alias("w"))
-    return V.repeated(out.select(F.concat_ws("+", "r_name", "n_name", "w").alias("rule")), ["rule"])
-
-
 # --- dictionaries ---------------------------------------------------------------------------------------------
 
 _EXCLUDED = [("red gizmo", None, None), ("blue bolt", "Brand#4", None), ("hot ring", None, "PROMO"), ("cold rod", "Brand#7", "SMALL"), ("new gear", "Brand#99", None)]
@@ -300,15 +291,6 @@ def kana_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "text", X.hira_to_kata(F.col("text")).alias("katakana"), X.utf16_length(F.col("text")).alias("units"))
 
 
-@query("""SELECT doc_id, line_no, part_no, part FROM (
-    SELECT doc_id, line_no, line, unnest(string_split(line, ' ')) AS part, unnest(range(0, len(string_split(line, ' ')))) AS part_no FROM (
-      SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents)) WHERE part <> '' AND NOT starts_with(line, '#')""")
-def split_explode_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    parts = docs.where(~F.col("line").startswith("#")).select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), F.posexplode(X.split_keeping_empty(F.col("line"), " ")).alias("p", "part"))
-    return parts.where("part <> ''").select("doc_id", "line_no", F.col("p").cast("long").alias("part_no"), "part")
-
-
 # --- quality --------------------------------------------------------------------------------------------------
 
 

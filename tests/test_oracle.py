@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from glyphmill.plans import files  # noqa: F401 - registers its queries
 from glyphmill.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
