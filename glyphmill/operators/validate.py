@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Fixed value: the name of id 0.
+BEGIN = "BOS/EOS,*,*,*,*,*,*"
+
+
 class ValidationError(ValueError):
     """A check found rows at fault."""
 
@@ -38,7 +42,7 @@ def id_definitions(defs: DataFrame) -> DataFrame:
     n = defs.agg(F.max("id").alias("m"))
     whole = n.where("m IS NOT NULL").select(F.explode(F.sequence(F.lit(0), F.col("m"))).alias("id"))
     fault = lambda df, kind, value: df.select(F.lit(kind).alias("fault"), F.col(value).cast("string").alias("value"))
-    begin = defs.where((F.col("id") == 0) & (F.col("name") != "BOS/EOS,*,*,*,*,*,*"))
+    begin = defs.where((F.col("id") == 0) & (F.col("name") != BEGIN))
     return (
         fault(repeated(defs, ["id"]), "id twice", "id").unionByName(fault(repeated(defs, ["name"]), "name twice", "name"))
         .unionByName(fault(whole.join(defs, "id", "left_anti"), "id missing", "id")).unionByName(fault(begin, "name of 0", "name"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import dictionary as D
+from ..operators import lattice as L
 from ..operators import ngram as N
 from ..operators import quality as Q
 from ..operators import validate as V
@@ -94,6 +95,22 @@ def write_matrix(spark: SparkSession, input: str, output: str) -> None:
     B.write_file(spark, output, B.matrix_bytes([r["cost"] for r in cells.toLocalIterator()]))
 
 
+def convert(spark: SparkSession, inputs: str, dictionaries: list[str], connection: str, output: str, n: str = "1", rules: str | None = None, id_def: str | None = None) -> DataFrame:
+    """Conversions of every line of the inputs as a table (path, line_no, input, rank, value, cost), in Parquet; a line that no words cover has no value.
+
+    ``rules`` is a directory of rule files, by which the ``n`` best are reranked; parts of speech in them need the id definitions.
+    """
+    most = int(n)
+    if most < 1:
+        raise ValueError("n has to be 1 or more")
+    lines = S.lines(spark, inputs).withColumnRenamed("value", "input")
+    pos = S.id_definitions(spark, id_def) if id_def else None
+    found = L.convert(lines, S.dictionary(spark, dictionaries), S.connection_matrix(spark, connection), most, N.rules_from(spark, rules) if rules else None, pos)
+    place = "place" if rules else "rank"
+    lines.join(found.select("input", F.col(place).alias("rank"), "value", "cost"), "input", "left").select("path", "line_no", "input", "rank", "value", "cost").write.mode("overwrite").parquet(output)
+    return spark.read.parquet(output)
+
+
 #: Options of each job: name, whether it is needed, and whether it takes many values or none.
 JOBS = {
     "validate": (validate, {"id_def": "one", "connection": "one", "dictionaries": "many"}),
@@ -103,6 +120,7 @@ JOBS = {
     "rules": (compile_rules, {"input": "one", "id_def": "one", "output": "one", "unigrams": "flag"}),
     "suggestions": (build_suggestions, {n: "one" for n in ("rules", "numbers", "emoji", "emoticons", "symbols", "custom", "output")}),
     "verify-suggestions": (verify_suggestions, {"directory": "one"}),
+    "convert": (convert, {"inputs": "one", "dictionaries": "many", "connection": "one", "output": "one", "n": "maybe", "rules": "maybe", "id_def": "maybe"}),
     "matrix": (write_matrix, {"input": "one", "output": "one"}),
 }
 
@@ -117,7 +135,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None):
             own.add_argument("--" + option.replace("_", "-"), dest=option, **how, **({"required": True} if kind in ("one", "many") else {}))
     found = vars(parser.parse_args(args))
     job = JOBS[found.pop("job")][0]
-    result = job(spark or SparkSession.builder.getOrCreate(), **found)
+    result = job(spark or SparkSession.builder.getOrCreate(), **{k: v for k, v in found.items() if v is not None})
     if isinstance(result, dict):
         print(*(f"{k}={v}" for k, v in result.items()), sep="\n")
     return result

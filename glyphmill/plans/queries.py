@@ -34,6 +34,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the session has cores is dealt over the cores; a larger one is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 # --- lattices -------------------------------------------------------------------------------------------------
 # The dictionary of the part names: their pieces of one to three letters, with ids and costs made from their letters.
 
@@ -111,6 +117,37 @@ def ngram_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("input", "place", F.col("value").alias("surface"), "cost", "matched")
 
 
+# Numbers as inputs, which grow with the tables: the last digits of the customers' keys; every piece of up to three digits has two surfaces.
+
+
+def _digits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    inputs = _t(spark, sf_dir, "customer").select(F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0").alias("input"))
+    at = inputs.distinct().select("input", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("i")).select("input", "i", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n"))
+    keys = at.where("i + n <= 6").select(F.expr("substring(input, i, n)").alias("yomi")).distinct()
+    words = keys.select("yomi", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("h"))
+    number = F.col("yomi").cast("int") + F.when(F.col("h") == "a", 0).otherwise(3)
+    return inputs, words.select(
+        "yomi", (number % 7 + 1).cast("smallint").alias("left_id"), (number % 5 + 1).cast("smallint").alias("right_id"), (20 + (number * 7 + F.length("yomi") * 11) % 50).cast("smallint").alias("cost"),
+        F.concat("yomi", "h").alias("tango"), F.lit("digits").alias("src"), F.lit(0).cast("bigint").alias("ord"))
+
+
+@query("""WITH RECURSIVE names AS (SELECT DISTINCT lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') AS input FROM customer),
+    k AS (SELECT DISTINCT substr(input, CAST(i AS INTEGER), CAST(n AS INTEGER)) AS yomi FROM names, (SELECT unnest(range(1, 6)) AS i), (SELECT unnest(range(1, 4)) AS n) WHERE i + n <= 6),
+    v AS (SELECT yomi, yomi || h AS tango, CAST(yomi AS INTEGER) + CASE h WHEN 'a' THEN 0 ELSE 3 END AS x FROM k, (SELECT unnest(['a', 'b']) AS h)),
+    dict AS (SELECT yomi, tango, x % 7 + 1 AS l, x % 5 + 1 AS r, 20 + (x * 7 + length(yomi) * 11) % 50 AS w FROM v),
+    spots AS (SELECT input, s, n, substr(input, CAST(s + 1 AS INTEGER), CAST(n AS INTEGER)) AS yomi FROM names, (SELECT unnest(range(0, 5)) AS s), (SELECT unnest(range(1, 4)) AS n) WHERE s + n <= 5),
+    edges AS (SELECT input, s, s + n AS e, tango, l, r, w FROM spots JOIN dict USING (yomi)),
+    p AS (SELECT input, e, r, w + (l * 3) % 11 AS cost, tango AS surface FROM edges WHERE s = 0
+          UNION ALL SELECT p.input, d.e, d.r, p.cost + d.w + (p.r * 7 + d.l * 3) % 11, p.surface || d.tango FROM p JOIN edges d ON p.input = d.input AND p.e = d.s),
+    done AS (SELECT input, surface, min(cost + (r * 7) % 11) AS cost FROM p WHERE e = 5 GROUP BY ALL),
+    ranked AS (SELECT input, surface, CAST(cost AS INTEGER) AS cost, CAST(row_number() OVER (PARTITION BY input ORDER BY cost, surface) AS INTEGER) AS rank FROM done)
+    SELECT input, rank, surface, cost FROM ranked WHERE rank <= 3""")
+def convert_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best conversions of every number."""
+    inputs, words = _digits(spark, sf_dir)
+    return L.convert(inputs, words, _connection(spark), 3).select("input", "rank", F.col("value").alias("surface"), "cost")
+
+
 # --- matrices and rules ---------------------------------------------------------------------------------------
 
 
@@ -169,12 +206,13 @@ def rule_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.without_rules(_t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type"), rules, "p_name", ["p_brand", "p_type"])
 
 
-@query("""SELECT c_custkey AS id, c_nationkey AS nation FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)
-    UNION ALL SELECT s_suppkey, s_nationkey FROM supplier WHERE s_acctbal > 5000""")
+@query("""SELECT s_suppkey AS id, s_nationkey AS nation, s_suppkey % 10 AS digit FROM supplier
+    UNION ALL SELECT c_custkey, c_nationkey, c_custkey % 10 FROM customer WHERE (c_nationkey, c_custkey % 10) NOT IN (SELECT (s_nationkey, s_suppkey % 10) FROM supplier)""")
 def missing_pair_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _t(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"))
-    more = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))
-    return D.union_ranked(base, D.missing(more, base, ["nation"])).drop("src_rank")
+    """Suppliers, then the customers of which the pair of nation and last digit is not among theirs."""
+    base = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 10).alias("digit"))
+    more = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 10).alias("digit"))
+    return D.union_ranked(base, D.missing(more, base, ["nation", "digit"])).drop("src_rank")
 
 
 @query("""SELECT p_type, string_agg(p_name, ',' ORDER BY length(p_name), p_name) AS names FROM (SELECT DISTINCT p_type, p_name FROM part) GROUP BY p_type""")
@@ -296,7 +334,8 @@ def kana_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _loanwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line of each document as a surface; the digits of the document's id, as kana, are its reading."""
-    docs = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "tango"))
+    docs = _spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "tango"))
     return docs.select(
         F.translate(F.col("doc_id").cast("string"), "0123456789", _DIGITS).alias("yomi"), "tango", (F.col("doc_id") % 300 + 1).cast("smallint").alias("cost"),
         (F.col("doc_id") * (1 << 20) + F.col("i")).alias("ord"))
@@ -380,10 +419,12 @@ def runtime_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- validation -----------------------------------------------------------------------------------------------
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size < 25)""")
+@query("""SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
+    UNION ALL SELECT doc_id, lang FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id)""")
 def fk_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return V.orphans(rows, _t(spark, sf_dir, "part").where("p_size < 25"), {"l_partkey": "p_partkey"})
+    """Customers without an order, and documents without a label."""
+    customers = V.orphans(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), _t(spark, sf_dir, "orders"), {"c_custkey": "o_custkey"})
+    return customers.unionByName(V.orphans(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("c_custkey"), F.col("lang").alias("c_name")), _t(spark, sf_dir, "labels"), {"c_custkey": "doc_id"}))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey AS left_id, l_suppkey AS right_id FROM lineitem WHERE l_partkey NOT BETWEEN 0 AND 89 OR l_suppkey NOT BETWEEN 0 AND 89")

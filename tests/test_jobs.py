@@ -75,3 +75,18 @@ def test_rules_and_dictionary(spark, tmp_path):
         main(["validate", "--id-def", ids, "--connection", matrix, "--dictionaries", put(tmp_path, "b.txt", "あ\t3\t1\t5\t亜\n")], spark)
     main(["matrix", "--input", matrix, "--output", str(tmp_path / "c.raw")], spark)
     assert (tmp_path / "c.raw").read_bytes() == bytes(18)
+
+
+def test_convert(spark, tmp_path):
+    a = put(tmp_path, "a.txt", "ふく\t1\t1\t10\t服\nふく\t1\t1\t20\t福\nを\t2\t2\t1\tを\n")
+    b = put(tmp_path, "b.txt", "きる\t1\t1\t5\t切る\nきる\t1\t1\t9\t着る\n")
+    matrix, ids = put(tmp_path, "c.txt", "3\n" + "0\n" * 9), put(tmp_path, "id.def", ID_DEF)
+    inputs = put(tmp_path, "in.txt", "ふくをきる\nx\nふくをきる\n")
+    args = ["convert", "--inputs", inputs, "--dictionaries", a, b, "--connection", matrix, "--output", str(tmp_path / "out")]
+    got = [(r.line_no, r.value, r.cost) for r in main(args, spark).orderBy("line_no", "rank").collect()]
+    assert got == [(1, "服を切る", 16), (2, None, None), (3, "服を切る", 16)]
+    put(tmp_path, "rules/r.ngram", '"服" + "を" + "着る"\n')
+    got = main([*args, "--n", "2", "--rules", str(tmp_path / "rules"), "--id-def", ids], spark).where("line_no = 1").orderBy("rank")
+    assert [(r.rank, r.value) for r in got.collect()] == [(1, "服を着る"), (2, "服を切る")]
+    with pytest.raises(ValueError):
+        main([*args, "--n", "0"], spark)
