@@ -14,7 +14,9 @@ SHARD_LIMIT = 16 << 10
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a scan of fewer splits than the session has cores is dealt over the cores, a larger one is left as it is."""
+    scan, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return scan.repartition(cores) if name == "documents" and scan.rdd.getNumPartitions() < cores else scan
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
