@@ -50,7 +50,7 @@ def missing(rows: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def group_ordered(rows: DataFrame, key: str, fields: list[str], order: list[str]) -> DataFrame:
-    """(key, entries): the fields of each key's rows as structs in the given order."""
+    """(key, entries): the fields of each key's rows as structs in the given order; a key's rows are one row, which has to fit a task."""
     packed = F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("entry"))))
     return rows.groupBy(key).agg(F.transform(packed, lambda x: x["entry"]).alias("entries"))
 

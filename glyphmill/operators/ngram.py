@@ -18,6 +18,8 @@ from ..functions import text as X
 RULE = "features array<struct<kind:int,value:string>>, source string, line_no int"
 #: Rules that one line may expand to.
 MOST = 100_000
+#: Bytes of word lists that are shipped with a parser.
+LISTS = 64 << 20
 _ESCAPES = {"\\": "\\", '"': '"', "n": "\n", "t": "\t"}
 
 
@@ -125,7 +127,11 @@ def rules_from(spark: SparkSession, path: str, unigrams: bool = False) -> DataFr
 
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
-    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.words").text(path, wholetext=True).select("_metadata.file_path", "value").collect()
+    words = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.words").text(path, wholetext=True).select("_metadata.file_path", "_metadata.file_size", "value")
+    size = words.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
+    if size > LISTS:
+        raise RuleError(f"word lists of {size} bytes; {LISTS} are allowed")
+    texts = words.select("file_path", "value").collect()
     plain = lambda p: re.sub("^file:/+", "/", p)
     lists = {plain(p)[len(plain(root)) :]: v for p, v in texts}
     orders = (1, 1) if unigrams else (2, 5)

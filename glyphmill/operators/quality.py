@@ -135,7 +135,10 @@ def described() -> Column:
 
 
 def candidate_report(assessment: DataFrame) -> DataFrame:
-    """For each reading as it stands: counts by status, and the candidates of each joined by bars, by runtime cost and surface."""
+    """For each reading as it stands: counts by status, and the candidates of each joined by bars, by runtime cost and surface.
+
+    The candidates of a reading are one row, so they have to fit a task (2 GB of text).
+    """
     item = F.struct(_rank().alias("k"), F.coalesce("runtime_cost", F.lit(2147483647)).alias("c"), "tango", "ord", described().alias("t"))
     listed = assessment.groupBy("yomi").agg(F.array_sort(F.collect_list(item)).alias("all"))
     of = lambda k: F.filter("all", lambda x: x["k"] == k)
