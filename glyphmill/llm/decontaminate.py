@@ -93,7 +93,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col: str
     columns are ignored; empty tables give an empty result, or clean rows.
     """
     hit = persisted(scan(docs, benchmark, size, text_col, most).select("th", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("th"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("th"), F.size(split_words(F.col(text_col))).cast("long").alias("n_words"))  # case changes no count
     zero = F.lit(0).cast("long")
     return rows.join(_side(hit, most), "th", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
