@@ -30,7 +30,7 @@ _URL = re.compile(r"[^\s<>\"'\x00-\x1f]+")
 _DIGITS = re.compile(r"[0-9]+")
 _ASSIGNED = re.compile(r"[A-Za-z_-]{0,16}[\"']?[ \t]*(?:=>|:=|[:=])[ \t]*[\"']?([^\s\"'<>,;]{8,})|[ \t]+(?=[A-Za-z0-9._~+/-]*[0-9])([A-Za-z0-9._~+/-]{16,}=*)")
 _KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[posu]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[bp]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{0,8192}-----END [A-Z ]{0,24}PRIVATE KEY-----)?")
-_AFTER_CUE = re.compile(r"[ \t]*(?:number|no\.?|nr\.?)?[ \t]*[:#=]?[ \t]*([A-Za-z]{0,2}[0-9][A-Za-z0-9]*(?:[ -][A-Za-z0-9]*[0-9][A-Za-z0-9]*)*)", re.I)
+_AFTER_CUE = re.compile(r"[ \t]*(?:(?:number|no\.?|nr\.?)[ \t]*)?(?:[:#=][ \t]*)?([A-Za-z]{0,2}[0-9][A-Za-z0-9]*(?:[ -][A-Za-z0-9]*[0-9][A-Za-z0-9]*)*)", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -114,9 +114,9 @@ class Finder:
                     after[6] = m.end()
                     found.append((at, 6, m.end()))
             elif last + 1 >= after[5] and (not at or not text[at - 1].isalnum()) and (m := _AFTER_CUE.match(text, last + 1)):
+                after[5] = m.end()
                 digits = sum(map(_digit, m[1]))
                 if (iban(m[1]) if m[1][:2].isalpha() and digits > 12 else 6 <= digits <= 18):
-                    after[5] = m.end()
                     found.append((m.start(1), 5, m.end(1)))
         return sorted(found)
 
@@ -165,7 +165,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with every found span replaced by its kind in angle brackets; where spans overlap, the first and longest stands."""
+    """The same rows and columns with every found span replaced by its kind in angle brackets; overlapping ones go as one, named by the first and longest."""
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     for s, k, e in spans:
                         if s >= end:
                             out += [x[end:s], f"<{KINDS[k]}>"]
-                            end = e
+                        end = max(end, e)
                     texts.append(x if x is None else "".join(out) + x[end:])
                 yield part.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 

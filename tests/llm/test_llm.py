@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -397,6 +398,15 @@ def test_pii_added_kinds():
         assert find(text) == want, text
 
 
+def test_pii_is_linear_and_redacts_overlaps(spark):
+    began = time.monotonic()
+    for t in ("account" + " " * 200_000 + "x", "account1 " * 50_000, "secret= " * 50_000, "token" + "\t" * 200_000, "-----BEGIN PRIVATE KEY-----" * 10_000):
+        pii.Finder().spans(t)
+    assert time.monotonic() - began < 20
+    df = spark.createDataFrame([(1, "see http://a.b/x?mail=me@c.d+1 415 555 0100 end"), (2, None)], "doc_id long, text string")
+    assert [r.text for r in pii.redacted(df).orderBy("doc_id").collect()] == ["see <url> end", None]
+
+
 def test_token_mask_by_brute_force():
     rng = np.random.default_rng(6)
     for _ in range(200):
