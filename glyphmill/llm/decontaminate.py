@@ -15,6 +15,8 @@ SIZE, CHUNK = 10, 512
 #: Anchor hashes, n-grams, (n-gram, item) pairs and hit texts up to which a side is broadcast (up to about 100 bytes
 #: each); larger sides are joined by a shuffle, with the same result.
 MOST = 200_000
+#: Anchor hashes are plain numbers, of which so many times more are broadcast (some 60 bytes each).
+PLAIN = 5
 
 
 def benchmark_ngrams(benchmark: DataFrame, size: int = SIZE, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -45,9 +47,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text_col: str
 
     One pass over the documents, for a benchmark of any size.  The aligned anchors of a
     text's words meet the hash set of all anchors of the benchmark's n-grams, which is broadcast
-    while it has up to ``most`` entries.  Only where one is found are the windows around it compared, on
-    the words themselves, so that a chance hit of hashes does not count; only those windows are ever shuffled, without
-    the text.  A long text is looked at in chunks, so that its hits do not carry it along.  Both sides fold A-Z alone, free of context.
+    while it has up to ``PLAIN * most`` entries.  Only where one is found are the windows around it compared, on
+    the words themselves, so that a chance hit of hashes does not count; only those windows are shuffled, without
+    the text.  For a larger benchmark every anchor of the texts is shuffled, with the few words that windows around it hold.  A long text is looked at in chunks, so that its hits do not carry it along.  Both sides fold A-Z alone, free of context.
     """
     grams = persisted(benchmark_ngrams(benchmark, size))
     distinct = grams.select("gram", "n").distinct()
@@ -66,16 +68,25 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text_col: str
     hashes = ", ".join(
         f"if(size(w) >= {n}, transform(sequence(0, cast(size(w) div {_anchor(n)} - 1 as int)), j -> xxhash64({n}, {', '.join(f'w[j * {_anchor(n)} + {k}]' for k in range(_anchor(n)))})), cast(array() as array<bigint>))"
         for n in sizes)
-    probed = chunks.select("th", "o", "w", F.posexplode_outer(F.expr(f"concat({hashes})")).alias("p", "hash")).join(_side(anchors, most), "hash", "left_semi")
+    placed = chunks.select("th", "o", "w", F.posexplode_outer(F.expr(f"concat({hashes})")).alias("p", "hash"))
     # the place in the list tells the size of the window and the number of the anchor
     n_of, j_of, before = F.lit(0), F.lit(0), F.lit(0)
     for n in sizes:
         n_of, j_of = F.when(F.col("p") >= before, n).otherwise(n_of), F.when(F.col("p") >= before, F.col("p") - before).otherwise(j_of)
         before = before + F.when(F.size("w") >= n, F.floor(F.size("w") / _anchor(n)).cast("int")).otherwise(0)
-    around = probed.select("th", "o", "w", n_of.cast("int").alias("n"), j_of.cast("int").alias("j")).withColumn("b", F.floor((F.col("n") + 1) / 2).cast("int"))
-    first, last = F.greatest(F.lit(1), F.col("j") * F.col("b") + 1 - (F.col("n") - F.col("b"))), F.least(F.col("j") * F.col("b") + 1, F.size("w") - F.col("n") + 1)
-    window = F.transform(F.sequence(first, last), lambda i: F.struct((F.col("o") + i).alias("at"), F.array_join(F.slice("w", i, F.col("n")), " ").alias("gram")))
-    windows = around.where(first <= last).select("th", "n", F.explode(window).alias("p")).select("th", "n", "p.*")
+
+    def around(rows: DataFrame) -> DataFrame:
+        """(th, hash, n, at, part) of anchors: the words of the windows that hold it, the first of them the text's word ``at``."""
+        rows = rows.select("th", "o", "w", "hash", n_of.cast("int").alias("n"), j_of.cast("int").alias("j")).withColumn("b", F.floor((F.col("n") + 1) / 2).cast("int"))
+        first, last = F.greatest(F.lit(1), F.col("j") * F.col("b") + 1 - (F.col("n") - F.col("b"))), F.least(F.col("j") * F.col("b") + 1, F.size("w") - F.col("n") + 1)
+        return rows.where(first <= last).select("th", "hash", "n", (F.col("o") + first).alias("at"), F.slice("w", first, last - first + F.col("n")).alias("part"))
+
+    if anchors.count() <= PLAIN * most:
+        probed = around(placed.join(F.broadcast(anchors), "hash", "left_semi"))
+    else:  # an anchor is shuffled with the words around it, never with its chunk
+        probed = around(placed.where("hash IS NOT NULL")).join(anchors, "hash", "left_semi")
+    window = F.transform(F.sequence(F.lit(0), F.size("part") - F.col("n")), lambda i: F.struct((F.col("at") + i).alias("at"), F.array_join(F.slice("part", i + 1, F.col("n")), " ").alias("gram")))
+    windows = probed.select("th", "n", F.explode(window).alias("p")).select("th", "n", "p.*")
     # n is part of the key: the words of two windows of different sizes cannot be the same
     found = persisted(windows.join(_side(distinct, most), ["gram", "n"], "left_semi").distinct())
     places = found.groupBy("th").agg(F.collect_set(F.struct("at", "n")).alias("at")).select(
