@@ -5,6 +5,8 @@ Only DataFrame functions: texts, windows and hits stay in the JVM.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,27 +66,28 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text_col: str
     # outer explodes: for others Spark makes the whole array twice, to drop rows where it is empty
     chunk = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(w) - 1) div {CHUNK} as int)")), lambda c: F.struct((c * CHUNK).alias("o"), F.slice("w", c * CHUNK + 1, F.lit(CHUNK + size - 1)).alias("w")))
     chunks = base.select("th", F.explode_outer(chunk).alias("c")).select("th", "c.o", "c.w")
-    # a hash of single elements equals that of the slice that they make, and copies nothing
-    hashes = ", ".join(
-        f"if(size(w) >= {n}, transform(sequence(0, cast(size(w) div {_anchor(n)} - 1 as int)), j -> xxhash64({n}, {', '.join(f'w[j * {_anchor(n)} + {k}]' for k in range(_anchor(n)))})), cast(array() as array<bigint>))"
-        for n in sizes)
-    placed = chunks.select("th", "o", "w", F.posexplode_outer(F.expr(f"concat({hashes})")).alias("p", "hash"))
-    # the place in the list tells the size of the window and the number of the anchor
+    # anchors are told by their place: the size of the window and the number of the anchor, for all sizes in turn
+    each = [F.when(F.size("w") >= n, F.floor(F.size("w") / _anchor(n)).cast("int")).otherwise(0) for n in sizes]
+    total = reduce(Column.__add__, each)
+    placed = chunks.select("th", "o", "w", F.explode_outer(F.when(total > 0, F.sequence(F.lit(0), total - 1))).alias("p"))
     n_of, j_of, before = F.lit(0), F.lit(0), F.lit(0)
-    for n in sizes:
+    for n, m in zip(sizes, each):
         n_of, j_of = F.when(F.col("p") >= before, n).otherwise(n_of), F.when(F.col("p") >= before, F.col("p") - before).otherwise(j_of)
-        before = before + F.when(F.size("w") >= n, F.floor(F.size("w") / _anchor(n)).cast("int")).otherwise(0)
+        before = before + m
+    placed = placed.select("th", "o", "w", n_of.alias("n"), j_of.alias("j")).withColumn("b", F.expr("cast((n + 1) div 2 as int)"))
+    # a hash of single words, nulls left out, equals that of the slice that they make; it runs in generated code, and is never null
+    word = [f"if({k} < b, get(w, j * b + {k}), null)" for k in range(_anchor(sizes[-1]))]
+    placed = placed.withColumn("hash", F.expr(f"xxhash64(n, {', '.join(word)})"))
 
     def around(rows: DataFrame) -> DataFrame:
         """(th, hash, n, at, part) of anchors: the words of the windows that hold it, the first of them the text's word ``at``."""
-        rows = rows.select("th", "o", "w", "hash", n_of.cast("int").alias("n"), j_of.cast("int").alias("j")).withColumn("b", F.floor((F.col("n") + 1) / 2).cast("int"))
         first, last = F.greatest(F.lit(1), F.col("j") * F.col("b") + 1 - (F.col("n") - F.col("b"))), F.least(F.col("j") * F.col("b") + 1, F.size("w") - F.col("n") + 1)
-        return rows.where(first <= last).select("th", "hash", "n", (F.col("o") + first).alias("at"), F.slice("w", first, last - first + F.col("n")).alias("part"))
+        return rows.where((F.col("n") > 0) & (first <= last)).select("th", "hash", "n", (F.col("o") + first).alias("at"), F.slice("w", first, last - first + F.col("n")).alias("part"))
 
     if anchors.count() <= PLAIN * most:
         probed = around(placed.join(F.broadcast(anchors), "hash", "left_semi"))
     else:  # an anchor is shuffled with the words around it, never with its chunk
-        probed = around(placed.where("hash IS NOT NULL")).join(anchors, "hash", "left_semi")
+        probed = around(placed).join(anchors, "hash", "left_semi")
     window = F.transform(F.sequence(F.lit(0), F.size("part") - F.col("n")), lambda i: F.struct((F.col("at") + i).alias("at"), F.array_join(F.slice("part", i + 1, F.col("n")), " ").alias("gram")))
     windows = probed.select("th", "n", F.explode(window).alias("p")).select("th", "n", "p.*")
     # n is part of the key: the words of two windows of different sizes cannot be the same
