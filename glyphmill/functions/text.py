@@ -95,7 +95,9 @@ def normalize_reading(c: Column) -> Column:
 
 def trim_blank(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(c, r"^[\s\x1C-\x1F\p{Z}]+|[\s\x1C-\x1F\p{Z}]+$", "")
+    blank = r"[\s\x1C-\x1F\p{Z}]"
+    # a trailing run is tried from its first blank alone, so that long runs inside a text cost no more than their length
+    return F.regexp_replace(c, f"^{blank}+|(?<!{blank}){blank}+$", "")
 
 
 def is_vocalization(c: Column) -> Column:

@@ -26,6 +26,7 @@ def test_text_functions(spark):
     assert one(spark, "ＡＢ~", X.nfkc_reading) == "AB〜"
     assert one(spark, "笑顔12", X.remove_trailing_number) == "笑顔" and one(spark, "12", X.remove_trailing_number) == "12"
     assert one(spark, "　a b\t", X.trim_blank) == "a b"
+    assert one(spark, " a" + " " * 300_000 + "b ", lambda c: F.length(X.trim_blank(c))) == 300_002
     assert one(spark, "a\t\tb", lambda c: X.split_keeping_empty(c, "\t")) == ["a", "", "b"]
     assert one(spark, "", lambda c: X.hash64(F.encode(c, "UTF-8"))) is not None
     kinds = spark.createDataFrame([([1, 3, 2],)], "k array<int>").select(X.signature(F.col("k")).alias("s"))
